@@ -30,17 +30,18 @@ def forest(pairs: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def contract(links: DataFrame) -> DataFrame:
-    """Links (a, b) of each task replaced by links of its nodes to the smallest of their group there."""
+    """Links (a, b) of each task replaced by links (node, other) of its nodes with the smallest of their group there, both ways."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: dict[int, int] = {}
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             tree = forest([*tree.items(), *pairs])
-        rows = [(x, root) for x, root in tree.items() if x != root]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+        down = [(x, root) for x, root in tree.items()]
+        rows = down + [(root, x) for x, root in down]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["node", "other"])
 
-    return links.select("a", "b").mapInArrow(join, "a long, b long")
+    return links.select("a", "b").mapInArrow(join, "node long, other long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,8 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat and come in either direction. No links give an empty table. Each round takes
     the smallest label among neighbours, then the label's own label, until no label changes.
     """
-    once = settle(contract(links), "links")
-    both = settle(once.select(F.col("a").alias("node"), F.col("b").alias("other")).union(once.select("b", "a")).distinct(), "links-both")
+    both = settle(contract(links), "links")
     labels = settle(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.alias("e").join(labels.alias("l"), F.col("e.other") == F.col("l.node")).groupBy(F.col("e.node").alias("node")).agg(F.min("l.label").alias("m"))

@@ -7,9 +7,11 @@ its smallest value. All elements take a step together; once a document's slots a
 step can lower any, so most documents stop after one or two. Bands of the signature bring
 candidates together; full sets confirm every link; union-find groups them.
 
-Of a bucket's members not all pairs are tried. They are first compared with one centre a bucket,
-which in a group of copies settles nearly all. Then only pairs whose members are still in different
-components are left, and all of those are tried, so no candidate link is lost.
+Classes that meet in a band, and all they lead to, are a family. Within a family all full sets are
+compared, many at once, as counts of common shingles, so a candidate link cannot be lost and a text is
+read once and not once a pair. Families are dealt to blocks of bounded size. A very large family is
+first compared with one centre: the classes near it are in one component already, so only the
+others are compared with all.
 """
 
 from __future__ import annotations
@@ -31,8 +33,14 @@ PERCENT = 75
 #: At the limit a link is missed by all bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, above it less.
 BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
-#: Centre rounds go on while pairs between components outnumber members so many times, and at most so often.
-FEW_PAIRS, MOST_ROUNDS = 8, 6
+#: Sizes of a part of a family that is compared at once, in classes and in shingles.
+PART_CLASSES, PART_SHINGLES = 1024, 2_000_000
+#: Families of more classes are compared with their centre first.
+LARGE = 8 * PART_CLASSES
+#: Up to so many rows, what is wanted of the documents is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Columns of a membership matrix, and pairs that are counted at once.
+COLUMNS, PAIRS = 2048, 4_000_000
 #: Elements whose steps are taken together.
 BATCH = 100_000
 U = np.uint64
@@ -118,12 +126,51 @@ def bands(slots: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, sorted and distinct, are similar enough."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sets of x with sets of y, exact.
+
+    Rare shingles are counted pair by pair, frequent ones by a product of membership matrices.
+    """
+    out = np.zeros((len(x), len(y)), np.float32)
+    hashes, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    first = np.searchsorted(place, np.arange(len(hashes)))
+    left = np.add.reduceat((row < len(x)).astype(np.int64), first)
+    right = np.diff(first, append=len(place)) - left
+    pairs = left * right
+    is_dense = (pairs * 400 > out.size) & (out.size > 4096)
+    sparse, dense = np.flatnonzero((pairs > 0) & ~is_dense), np.flatnonzero(is_dense)
+    ends = np.cumsum(pairs[sparse])
+    while len(sparse):
+        n = max(1, int(np.searchsorted(ends, PAIRS)))
+        now, many = sparse[:n], pairs[sparse[:n]]
+        # Each shingle's rows of x come before its rows of y.
+        own = np.repeat(now, many)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        a = row[first[own] + nth // right[own]]
+        b = row[first[own] + left[own] + nth % right[own]] - len(x)
+        out += np.bincount(a * len(y) + b, minlength=out.size).reshape(out.shape)
+        sparse, ends = sparse[n:], ends[n:] - ends[n - 1]
+    at = np.full(len(hashes), -1)
+    for k in range(0, len(dense), COLUMNS):
+        at[:] = -1
+        at[dense[k : k + COLUMNS]] = np.arange(len(dense[k : k + COLUMNS]))
+        has = at[place] >= 0
+        held = np.zeros((len(x) + len(y), min(COLUMNS, len(dense) - k)), np.float32)
+        held[row[has], at[place[has]]] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(i, j) of the sets of x and y that are similar enough, compared in full."""
+    if not x or not y:
+        return np.zeros((0, 2), int)
+    both = overlaps(x, y).astype(np.int64)
+    sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    return np.argwhere(100 * both >= PERCENT * (sizes - both))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -154,81 +201,115 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(draw, f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough; ``texts``: class, text, one row a class."""
+def root(tree: dict[int, int], x: int) -> int:
+    while (up := tree.get(x, x)) != x:
+        tree[x] = tree.get(up, up)
+        x = up
+    return x
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of classes; ``rows``: block, side, class, text.
+
+    A block is two sides of a bounded number of classes, or one that is compared with itself. Rows
+    come sorted by block, and of the pairs that are similar enough those are returned that join
+    what earlier ones have not.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, U))
+        at, found = None, []
+        sides: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
+
+        def close() -> None:
+            x, y = sides if sides[1] else (sides[0], sides[0])
+            names, others = list(x), list(y)
+            tree: dict[int, int] = {}
+            for i, j in linked(list(x.values()), list(y.values())).tolist():
+                a, b = root(tree, names[i]), root(tree, others[j])
+                if a != b:
+                    tree[max(a, b)] = min(a, b)
+                    found.append((names[i], others[j]))
+            for s in sides:
+                s.clear()
+
         for batch in batches:
-            ok = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != b:
-                    last = (b, cut(tb.as_py()))
-                ok.append(linked(cut(ta.as_py()), last[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for block, side, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if block != at:
+                    close()
+                    at = block
+                if own not in sides[side]:
+                    sides[side][own] = cut(text.as_py())
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    x, y = texts.alias("x"), texts.alias("y")
-    left = pairs.alias("p").join(x, F.col("p.a") == F.col("x.class")).select("p.a", "p.b", F.col("x.text").alias("ta"))
-    full = left.alias("p").join(y, F.col("p.b") == F.col("y.class")).select("p.a", "p.b", "p.ta", F.col("y.text").alias("tb"))
-    return full.mapInArrow(check, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block").select("block", "side", "class", "text").mapInArrow(check, "a long, b long")
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def parts(classes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(classes / PART_CLASSES), F.ceil(shingles / PART_SHINGLES)).cast("long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, text) of the wanted classes (class, rep, text_key): the text of one document that has it."""
+    """``wanted`` (class, rep, text_key and others) with the text of a document that has the class; of repeated rows, all."""
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     own = F.col("d.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("d.text_key") == F.col("w.text_key"))
-    found = d.join(wanted.alias("w"), own).select("w.class", "d.text")
-    return found.groupBy("class").agg(F.first("text").alias("text"))
+    return d.join(side.alias("w"), own).select("w.*", "d.text")
+
+
+def star_blocks(members: DataFrame) -> DataFrame:
+    """``members`` with block and side: each part of a family on one side, its centre on the other. The centre is the smallest class, which names the family."""
+    sums = members.groupBy("family").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
+    own = members.join(sums, "family")
+    centre = F.col("class") == F.col("family")
+    part = F.when(centre, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts"))))
+    return own.withColumn("part", F.explode(part)).select(*members.columns, F.concat_ws("/", "family", "part").alias("block"), centre.cast("int").alias("side"))
+
+
+def all_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (with ``near``: whether linked with the centre) with block and side, a row for each block.
+
+    A family's near classes and its others are dealt to parts. Two parts are compared unless both are of near ones.
+    """
+    count = lambda near, x: F.coalesce(F.sum(F.when(F.col("near") == near, x)), F.lit(0))
+    of = lambda near: parts(count(near, F.lit(1)), count(near, F.col("n")))
+    own = members.join(members.groupBy("family").agg(of(False).alias("far_parts"), of(True).alias("near_parts")), "family")
+    own = own.withColumn("part", F.pmod(F.xxhash64("class"), F.when(F.col("near"), F.col("near_parts")).otherwise(F.col("far_parts"))))
+    none = F.array().cast("array<struct<block:string,side:int>>")
+
+    def with_each(n: str, block) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), block)).otherwise(none)
+
+    def block(kind: str, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.concat_ws("/", F.col("family"), F.lit(kind), i, j).alias("block"), side.cast("int").alias("side"))
+
+    part = F.col("part")
+    among = with_each("far_parts", lambda k: block("far", F.least(k, part), F.greatest(k, part), part > k))
+    across = with_each("near_parts", lambda k: block("near", part, k, F.lit(0)))
+    back = with_each("far_parts", lambda k: block("near", k, part, F.lit(1)))
+    blocks = F.when(F.col("near"), back).otherwise(F.concat(among, across))
+    return own.withColumn("b", F.explode(blocks)).select(*members.columns, "b.block", "b.side")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that make the components whole. ``classes``: class, n, bands, rep, text_key."""
-    banded = classes.select("class", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("band")
-    members = settle(banded.join(shared, "band"), "members")
-    wanted = members.select("class").distinct().join(classes.select("class", "rep", "text_key"), "class")
-    texts = settle(texts_of(docs, wanted), "texts")
-    found, tried = None, None
-    labels = members.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
-    for turn in range(MOST_ROUNDS + 1):
-        named = settle(members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "members-labelled")
-        by_label = named.groupBy("band", "label").agg(F.count("*").alias("n_label"))
-        open_ = by_label.groupBy("band").agg(F.sum("n_label").alias("s"), F.sum(F.col("n_label") * F.col("n_label")).alias("q"), F.count("*").alias("k")).where("k > 1")
-        open_ = settle(open_.select("band", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), "s"), "open")
-        pending = open_.agg(F.sum("pairs").alias("pairs"), F.sum("s").alias("s")).first()
-        if not pending["pairs"]:
-            break
-        rest = named.join(open_.select("band"), "band")
-        last = turn == MOST_ROUNDS or turn > 0 and pending["pairs"] <= FEW_PAIRS * pending["s"]
-        if last:
-            x, y = rest.alias("x"), rest.alias("y")
-            both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.class") < F.col("y.class")))
-        else:
-            # The centre is the same in most buckets of a group, so that its pairs repeat and are tried once.
-            rank = F.xxhash64("class", F.lit(turn))
-            centre = rest.groupBy("band").agg(F.min_by("class", rank).alias("class"))
-            y = centre.join(rest, ["band", "class"]).alias("y")
-            both = rest.alias("x").join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")))
-        fits = sizes_fit(F.col("x.n"), F.col("y.n"))
-        pairs = both.where(fits).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if last else pairs
-        if tried is not None:
-            same = lambda t: (F.col("o.a") == F.col(f"t.{t[0]}")) & (F.col("o.b") == F.col(f"t.{t[1]}"))
-            seen = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-            ordered = ordered.alias("o").join(seen.alias("t"), same("ab"), "left_anti")
-        new = settle(ordered, "pairs")
-        good = settle(confirm(new, texts), "confirmed")
-        found = good if found is None else found.union(good)
-        tried = new if tried is None else tried.union(new)
-        if last:
-            break
-        labels = components(found)
-    return classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0) if found is None else found
+    banded = classes.select("class", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
+    meet = banded.join(shared.select("band", "first"), "band").where(F.col("class") != F.col("first"))
+    families = components(meet.select(F.col("class").alias("a"), F.col("first").alias("b")))
+    own = families.select(F.col("node").alias("class"), F.col("label").alias("family"))
+    members = settle(classes.select("class", "n", "rep", "text_key").join(own, "class"), "members")
+    large = settle(members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("family"), "large-families")
+    if large.isEmpty():
+        return compared(texts_of(docs, all_blocks(members.withColumn("near", F.lit(False)))))
+    star = settle(compared(texts_of(docs, star_blocks(members.join(large, "family")))), "star-links")
+    near = star.select(F.col("a").alias("class"), F.lit(True).alias("is_near")).distinct()
+    rest = settle(members.join(near, "class", "left").withColumn("near", F.coalesce("is_near", F.lit(False))).drop("is_near"), "members-near")
+    return compared(texts_of(docs, all_blocks(rest))).union(star)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
