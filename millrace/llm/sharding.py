@@ -5,7 +5,7 @@ pieces; large groups and pieces are items of their own; all other groups are dea
 into a fixed number of bundles, which are the other items. So what is packed on the driver is
 bounded by the number of shards, whatever the number of documents. Items go, largest first, to the
 shard where the dot product of the item with the shard's residual capacity is highest, among the
-shards whose bytes still have room.
+shards that are about equally far from full in bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ N_SHARDS = 40
 BUNDLES = 256
 #: Groups over this part of a shard are items, those over WHOLE are cut into pieces of about this part.
 LARGE, WHOLE = 1 / 16, 1 / 2
+#: Part of a shard's bytes by which shards may differ in the end.
+GIVE = 0.005
 RESOURCES = ("bytes", "tokens", "rows")
 #: Bytes of a row besides its text.
 ROW_BYTES = 16
@@ -29,17 +31,17 @@ ROW_BYTES = 16
 def place(items: np.ndarray, n_shards: int) -> np.ndarray:
     """The shard of each item; ``items`` has a row of RESOURCES each.
 
-    Resources are in parts of a shard's share. Of the shards with room for the item's bytes it goes
-    where item . residual is highest; where none has room, to the one with most bytes left. Ties go
-    to the lower number.
+    Resources are in parts of a shard's share. An item goes where item . residual is highest, among
+    the shards with about most bytes left: less than the most by half of what is left on average,
+    GIVE, or the item's bytes, whichever is most. Items go by their largest part, then by bytes, so bytes end equal but for the last items. Ties go to the lower number.
     """
     shares = items / np.maximum(items.sum(axis=0) / n_shards, 1e-12)
     left = np.ones((n_shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    for k in np.lexsort((np.arange(len(items)), -shares.max(axis=1))) if len(items) else ():
+    for k in np.lexsort((np.arange(len(items)), -shares[:, 0], -shares.max(axis=1))) if len(items) else ():
         x = shares[k]
-        room = left[:, 0] >= x[0] - 1e-12
-        at = int(np.argmax(np.where(room, left @ x, -np.inf))) if room.any() else int(np.argmax(left[:, 0]))
+        near = left[:, 0] >= left[:, 0].max() - max(left[:, 0].mean() / 2, GIVE, x[0])
+        at = int(np.argmax(np.where(near, left @ x, -np.inf)))
         out[k] = at
         left[at] -= x
     return out
