@@ -1,0 +1,55 @@
+import hashlib
+import tarfile
+import zlib
+from urllib.parse import urlparse
+
+from millrace.llm import media, queries
+from millrace.llm.media import decode, encode, header, media_columns, payload_of, store
+from tests.llm.conftest import HARD
+
+
+def test_images_are_lossless():
+    for text in (t or "" for t in HARD):
+        payload = payload_of(text)
+        assert len(payload) % 64 == 0 < len(payload)
+        image = encode(payload)
+        assert header(image[: media.HEADER_BYTES]) == (64, len(payload) // 64, 8, 0)
+        assert decode(image) == payload
+
+
+def test_shards_are_tar_files(docs, monkeypatch):
+    monkeypatch.setattr(media, "SHARD_BYTES", 4096)
+    texts = [f"text {k}" * 50 for k in range(40)]
+    rows = media.describe(store(docs(*texts, *texts))).collect()
+    assert {r.digest for r in rows} == {hashlib.sha256(payload_of(t)).hexdigest() for t in texts} and len(rows) == 40
+    assert len({r.shard for r in rows}) > 1
+    for r in rows:
+        with tarfile.open(urlparse(r.shard).path) as tar:
+            member = tar.getmember(f"{r.digest}.png")
+            assert (member.offset_data, member.size) == (r.offset, r.length)
+            assert hashlib.sha256(decode(tar.extractfile(member).read())).hexdigest() == r.digest
+
+
+def check(texts, rows):
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        payload = payload_of(text)
+        image = encode(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest())
+
+
+def test_hard_rows(docs):
+    rows = [(None, "x"), (7, "x"), (7, "x"), (8, "x\x00"), *((100 + k, t) for k, t in enumerate(HARD))]
+    found = media_columns(docs(*rows, clashing=True)).collect()
+    assert len(found) == len(rows)
+    check({i: t for i, t in rows}, found)
+    assert len({(r.n_bytes, r.feature) for r in found if r.doc_id in (None, 7)}) == 1
+    assert media_columns(docs("x").limit(0)).collect() == []
+
+
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op7_media(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    check(texts, rows)

@@ -1,0 +1,158 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import minhash, queries, sql
+from millrace.llm.components import components, forest
+from millrace.llm.minhash import SLOTS, Shingler, bands, deduplicated, near_duplicates, signatures
+from tests.helpers import assert_same
+from tests.llm.conftest import HARD, PROSE
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
+    return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def brute(rows):
+    """Component of each row by comparing all pairs of rows."""
+    sets, at = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                at = [at[i] if x == at[j] else x for x in at]
+    return [(i, len(s), min(rows[k][0] for k in range(len(rows)) if at[k] == at[n])) for n, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def slow_signature(elements):
+    """One element at a time, each with its own permutation."""
+    out = [None] * SLOTS
+    for e in elements:
+        way = list(range(SLOTS))
+        for step in range(SLOTS):
+            drawn = int(minhash.mixed(np.array([e], np.uint64) + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64))[0])
+            to = step + (drawn & 0xFFFFFFFF) % (SLOTS - step)
+            way[step], way[to] = way[to], way[step]
+            value = step << 32 | drawn >> 32
+            if out[way[step]] is None or value < out[way[step]]:
+                out[way[step]] = value
+    return out
+
+
+def test_signatures_equal_the_algorithm_without_early_stops():
+    r = random.Random(1)
+    sets = [np.array(sorted(r.getrandbits(64) for _ in range(n)), np.uint64) for n in (1, 2, 7, 60, 400)]
+    assert signatures(sets).tolist() == [slow_signature(s.tolist()) for s in sets]
+
+
+def test_signatures_estimate_similarity():
+    r = random.Random(2)
+    errors = []
+    for _ in range(60):
+        both, a, b = ([r.getrandbits(64) for _ in range(n)] for n in (150, 25, 25))
+        x, y = signatures([np.unique(np.array(both + p, np.uint64)) for p in (a, b)])
+        errors.append((x == y).mean() - 0.75)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < np.sqrt(0.75 * 0.25 / SLOTS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAbÄ \t\x0b\x1c\xa0\n"), max_size=40))
+def test_shingle_sets(text):
+    assert len(Shingler()(text)) == len(shingles(text))
+
+
+def edited(r, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"w{r.random()}"
+    return " ".join(words)
+
+
+def corpus(seed, families=12, size=12):
+    r = random.Random(seed)
+    rows = []
+    for f in range(families):
+        words = [f"f{f}w{r.randrange(400)}" for _ in range(r.choice([6, 30, 120, 200]))]
+        rows += [edited(r, words, r.choice([0, 0, 1, 2, 4, 7])) for _ in range(size)]
+    r.shuffle(rows)
+    return rows
+
+
+def test_groups_equal_brute_force(docs):
+    rows = list(enumerate(corpus(3)))
+    found = near_duplicates(docs(*rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+@pytest.mark.parametrize("limits", [{}, {"PART_CLASSES": 4}, {"PART_SHINGLES": 300}, {"PART_CLASSES": 5, "LARGE": 3}, {"LARGE": 3, "BROADCAST_ROWS": 0}])
+def test_chains_and_shared_passages_equal_brute_force(docs, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(5)
+    words = [f"c{k}" for k in range(100)]
+    rows = []
+    for k in range(30):  # each a step from the one before: ends share little
+        words = words[2:] + [f"d{k}", f"e{k}"]
+        rows.append(" ".join(words))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [passage + " " + " ".join(f"q{k}{r.random()}" for _ in range(25)) for k in range(40)]  # similar, not enough
+    rows = list(enumerate(rows))
+    found = near_duplicates(docs(*rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows))
+
+
+def test_overlaps_equal_pairwise_counts(monkeypatch):
+    r = random.Random(1)
+    for turn in range(20):
+        if turn == 10:
+            monkeypatch.setattr(minhash, "PAIRS", 50)
+            monkeypatch.setattr(minhash, "COLUMNS", 7)
+        base = [r.getrandbits(64) for _ in range(r.choice([3, 40, 200]))]
+        x, y = ([np.unique(np.array([b if r.random() < 0.8 else r.getrandbits(64) for b in base], np.uint64)) for _ in range(n)] for n in (r.choice([1, 70]), r.choice([2, 80])))
+        assert (minhash.overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
+def test_bands_meet_at_the_limit():
+    r = random.Random(4)
+    missed = 0
+    for _ in range(300):
+        both, a, b = ([r.getrandbits(64) for _ in range(n)] for n in (30, 5, 5))
+        x, y = bands(signatures([np.unique(np.array(both + p, np.uint64)) for p in (a, b)]))
+        missed += not (x == y).any()
+    assert missed == 0
+
+
+def test_hard_rows(docs):
+    rows = [(None, PROSE + " x"), (None, PROSE + " x"), (50, PROSE.upper()), (50, PROSE.upper()), (50, "another text altogether here"), *((100 + k, x) for k, x in enumerate(HARD))]
+    found = near_duplicates(docs(*rows, clashing=True)).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    assert [(by_id[k].n_shingles, by_id[k].component_id, by_id[k].kept) for k in (100, 101, 102)] == [(0, k, True) for k in (100, 101, 102)]
+    assert {r.component_id for r in found if r.doc_id in (None, 50, 106, 107)} == {50}
+    assert [r.kept for r in found if r.doc_id is None] == [False, False]
+    assert near_duplicates(docs("x").limit(0)).collect() == []
+    kept = deduplicated(docs(*rows, clashing=True))
+    assert {r.doc_id for r in kept.collect()} == {50, 100, 101, 102, 103, 104, 105, 108, 109} and "spans" in kept.columns
+    lonely = near_duplicates(docs((None, PROSE), (None, PROSE), (None, "short"))).collect()
+    assert [(r.component_id, r.kept) for r in lonely] == [(None, True)] * 3
+
+
+def test_forest_and_components(spark):
+    assert forest([(3, 2), (2, 1), (5, 4), (4, 5)]) == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4}
+    r = random.Random(6)
+    chain = list(range(60))
+    r.shuffle(chain)
+    pairs = [(a, b) if r.random() < 0.5 else (b, a) for a, b in zip(chain, chain[1:], strict=False)] + [(1000 + k, 999) for k in range(50)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    assert {(x.node, x.label) for x in components(links).collect()} == {(k, 0) for k in range(60)} | {(k, 999) for k in (999, *range(1000, 1050))}
+    assert components(links.limit(0)).collect() == []
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    assert_same(queries.op2_near_duplicates(spark, sf_dir), sql.OP2, sf_dir)
