@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import dot, norm
 from millrace.operators.ordered import as_of, sessions, top_k
 from millrace.sources.tables import table
 
-REVENUE = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+def revenue() -> Column:
+    return F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
 
 
 def line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    made = rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(REVENUE, 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+    made = rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), revenue(), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
     return made
 
 
@@ -28,7 +30,7 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    made = lines.groupBy("o_orderkey", "o_orderdate").agg(F.round(REVENUE, 2).alias("revenue"))
+    made = lines.groupBy("o_orderkey", "o_orderdate").agg(revenue())
     return made.orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
