@@ -1,8 +1,8 @@
-"""Connected components of a link table: union-find within tasks, minimum labels across them."""
+"""Connected components of a link table: union-find within tasks, contraction across them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import settle
 
 
-def forest(pairs: list[tuple[int, int]]) -> dict[int, int]:
+def forest(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
     """Union-find: each node of the pairs with the smallest node it is linked to."""
     parent: dict[int, int] = {}
 
@@ -29,34 +29,39 @@ def forest(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return {x: find(x) for x in list(parent)}
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Links (a, b) of each task replaced by links (node, other) of its nodes with the smallest of their group there, both ways."""
+def unite(links: DataFrame) -> DataFrame:
+    """Links (a, b) of each task replaced by those of its nodes with the smallest of their group there; a group's smallest is linked with itself."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: dict[int, int] = {}
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            tree = forest([*tree.items(), *pairs])
-        down = [(x, root) for x, root in tree.items()]
-        rows = down + [(root, x) for x, root in down]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["node", "other"])
+            tree = forest([*tree.items(), *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(join, "node long, other long")
+    return links.select("a", "b").mapInArrow(join, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of the links (a, b: long): the smallest node of its component.
 
-    Links may repeat and come in either direction. No links give an empty table. Each round takes
-    the smallest label among neighbours, then the label's own label, until no label changes.
+    Links may repeat and come in either direction. No links give an empty table. In each round a
+    node goes to the smallest node among its neighbours and itself, and links between nodes that
+    went to the same one vanish; a component's smallest node always stays. Nodes numbered like
+    hashes, as classes are, halve at least from round to round; others may take more rounds.
     """
-    both = settle(contract(links), "links")
-    labels = settle(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    steps = []
+    left = settle(unite(links), "links")
     while True:
-        near = both.alias("e").join(labels.alias("l"), F.col("e.other") == F.col("l.node")).groupBy(F.col("e.node").alias("node")).agg(F.min("l.label").alias("m"))
-        lower = labels.alias("l").join(near.alias("n"), F.col("l.node") == F.col("n.node")).select("l.node", F.col("l.label").alias("was"), F.least("l.label", "n.m").alias("label"))
-        jumped = lower.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", "x.was", F.least("x.label", "y.label").alias("label"))
-        after = settle(jumped, "labels")
-        labels = after.select("node", "label")
-        if after.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        step = settle(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up")), "labels")
+        steps.append(step)
+        ends = left.where(F.col("a") != F.col("b")).alias("e").join(step.alias("x"), F.col("e.a") == F.col("x.node")).join(step.alias("y"), F.col("e.b") == F.col("y.node"))
+        moved = ends.select(F.col("x.up").alias("a"), F.col("y.up").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        left = settle(unite(moved), "links")
+        if left.isEmpty():
+            break
+    labels = steps.pop()
+    while steps:
+        step = steps.pop()
+        labels = step.alias("s").join(labels.alias("l"), F.col("s.up") == F.col("l.node"), "left").select("s.node", F.coalesce("l.up", "s.up").alias("up"))
+    return labels.select("node", F.col("up").alias("label"))

@@ -300,7 +300,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     banded = classes.select("class", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
     meet = banded.join(shared.select("band", "first"), "band").where(F.col("class") != F.col("first"))
-    families = components(meet.select(F.col("class").alias("a"), F.col("first").alias("b")))
+    families = components(meet.select(F.col("class").alias("a"), F.col("first").alias("b")).distinct())
     own = families.select(F.col("node").alias("class"), F.col("label").alias("family"))
     members = settle(classes.select("class", "n", "rep", "text_key").join(own, "class"), "members")
     large = settle(members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("family"), "large-families")
