@@ -97,5 +97,5 @@ def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights:
 
 def mixed(df: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as ``mix`` takes it."""
-    taken = mix(df).where(F.col("repeats") > 0)
+    taken = mix(df, settle(sized(df), "mix-rows")).where(F.col("repeats") > 0)
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("doc.*")
