@@ -58,7 +58,7 @@ def stats_of(text: str, raw: bytes, words: list[bytes], counts: Counter) -> list
 class Featuriser:
     """Features of texts; keeps the places of words it has seen, up to a bound."""
 
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self) -> None:
         self.places: dict[bytes, int] = {}

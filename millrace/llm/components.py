@@ -11,31 +11,38 @@ from pyspark.sql import functions as F
 from millrace.llm.common import settle
 
 
-def forest(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
-    """Union-find: each node of the pairs with the smallest node it is linked to."""
-    parent: dict[int, int] = {}
+class Groups:
+    """Union-find; a group is known by its smallest node."""
 
-    def find(x: int) -> int:
-        root = x
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent, root = self.parent, x
         while (up := parent.setdefault(root, root)) != root:
             root = up
         while parent[x] != root:
             parent[x], x = root, parent[x]
         return root
 
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {x: find(x) for x in list(parent)}
+    def add(self, pairs: Iterable[tuple[int, int]]) -> None:
+        for a, b in pairs:
+            a, b = self.find(a), self.find(b)
+            self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> dict[int, int]:
+        """Each node with its group's smallest."""
+        return {x: self.find(x) for x in list(self.parent)}
 
 
 def unite(links: DataFrame) -> DataFrame:
     """Links (a, b) of each task replaced by those of its nodes with the smallest of their group there; a group's smallest is linked with itself."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: dict[int, int] = {}
+        groups = Groups()
         for batch in batches:
-            tree = forest([*tree.items(), *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            groups.add(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        tree = groups.roots()
         yield pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64())], ["a", "b"])
 
     return links.select("a", "b").mapInArrow(join, "a long, b long")

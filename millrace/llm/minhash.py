@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.llm.components import Groups, components
 from millrace.llm.common import settle
 
 SHINGLE = 5
@@ -56,7 +56,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as sorted distinct 64-bit hashes; keeps the hashes of words it has seen, up to a bound."""
 
-    MOST = 1_000_000
+    MOST = 250_000
 
     def __init__(self) -> None:
         self.hashes: dict[bytes, int] = {}
@@ -131,7 +131,7 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
     Rare shingles are counted pair by pair, frequent ones by a product of membership matrices.
     """
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)))
     hashes, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
     row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
     order = np.argsort(place, kind="stable")
@@ -201,13 +201,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(draw, f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>")
 
 
-def root(tree: dict[int, int], x: int) -> int:
-    while (up := tree.get(x, x)) != x:
-        tree[x] = tree.get(up, up)
-        x = up
-    return x
-
-
 def compared(rows: DataFrame) -> DataFrame:
     """Links (a, b) of classes; ``rows``: block, side, class, text.
 
@@ -224,12 +217,12 @@ def compared(rows: DataFrame) -> DataFrame:
         def close() -> None:
             x, y = sides if sides[1] else (sides[0], sides[0])
             names, others = list(x), list(y)
-            tree: dict[int, int] = {}
+            groups = Groups()
             for i, j in linked(list(x.values()), list(y.values())).tolist():
-                a, b = root(tree, names[i]), root(tree, others[j])
-                if a != b:
-                    tree[max(a, b)] = min(a, b)
-                    found.append((names[i], others[j]))
+                a, b = names[i], others[j]
+                if groups.find(a) != groups.find(b):
+                    groups.add([(a, b)])
+                    found.append((a, b))
             for s in sides:
                 s.clear()
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import minhash, queries, sql
-from millrace.llm.components import components, forest
+from millrace.llm.components import Groups, components
 from millrace.llm.minhash import SLOTS, Shingler, bands, deduplicated, near_duplicates, signatures
 from tests.helpers import assert_same
 from tests.llm.conftest import HARD, PROSE
@@ -143,8 +143,10 @@ def test_hard_rows(docs):
     assert [(r.component_id, r.kept) for r in lonely] == [(None, True)] * 3
 
 
-def test_forest_and_components(spark):
-    assert forest([(3, 2), (2, 1), (5, 4), (4, 5)]) == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4}
+def test_union_find_and_components(spark):
+    groups = Groups()
+    groups.add([(3, 2), (2, 1), (5, 4), (4, 5)])
+    assert groups.roots() == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4}
     r = random.Random(6)
     chain = list(range(60))
     r.shuffle(chain)
