@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import with_texts
+
 WORD_BITS = 14
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS = 8_000
 FACTORS = 8
 EPOCHS = 12
 BATCH = 64
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != HELD_OUT))
     sample = usable.select("doc_id", (F.col("quality") > 0).cast("int").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = with_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser()
@@ -197,4 +199,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         out = [shared.value.score([make(x) for x in texts.iloc[k : k + 256]]) for k in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), scored(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
+    return with_texts(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), scored(F.coalesce(F.col("text"), F.lit(""))).alias("score"))

@@ -43,12 +43,33 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows, the side of a join that has a few short columns is broadcast: some 10 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, settled before, to be joined: broadcast if a count shows that it is small, by shuffle otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def clear_work(spark: SparkSession) -> None:
     """Delete the tables that this application has settled; none may be in use."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch of texts, unless the session says otherwise.
+BATCH_ROWS = 1000
+
+
+def with_texts(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are about to go to Python: batches are made smaller than Spark's default of 10,000 rows, as documents are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

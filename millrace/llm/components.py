@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle
+from millrace.llm.common import settle, small
 
 
 class Groups:
@@ -62,13 +62,13 @@ def components(links: DataFrame) -> DataFrame:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         step = settle(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up")), "labels")
         steps.append(step)
-        ends = left.where(F.col("a") != F.col("b")).alias("e").join(step.alias("x"), F.col("e.a") == F.col("x.node")).join(step.alias("y"), F.col("e.b") == F.col("y.node"))
+        near = small(step)
+        ends = left.where(F.col("a") != F.col("b")).alias("e").join(near.alias("x"), F.col("e.a") == F.col("x.node")).join(near.alias("y"), F.col("e.b") == F.col("y.node"))
         moved = ends.select(F.col("x.up").alias("a"), F.col("y.up").alias("b")).where(F.col("a") != F.col("b")).distinct()
         left = settle(unite(moved), "links")
         if left.isEmpty():
             break
-    labels = steps.pop()
-    while steps:
-        step = steps.pop()
-        labels = step.alias("s").join(labels.alias("l"), F.col("s.up") == F.col("l.node"), "left").select("s.node", F.coalesce("l.up", "s.up").alias("up"))
-    return labels.select("node", F.col("up").alias("label"))
+    labels = steps.pop(0)
+    for step in steps:
+        labels = labels.alias("s").join(small(step).alias("l"), F.col("s.up") == F.col("l.node"), "left").select("s.node", F.coalesce("l.up", "s.up").alias("up"))
+    return settle(labels.select("node", F.col("up").alias("label")), "labels")

@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle, work_path
+from millrace.llm.common import settle, with_texts, work_path
 
 #: Bytes of a payload row; a payload is a positive multiple of it.
 WIDTH = 64
@@ -113,7 +113,7 @@ def store(df: DataFrame) -> DataFrame:
             out.write(bytes(2 * tarfile.BLOCKSIZE))
             out.close()
 
-    places = settle(df.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(write, INDEX), "media-places")
+    places = settle(with_texts(df).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(write, INDEX), "media-places")
     return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Groups, components
-from millrace.llm.common import settle
+from millrace.llm.common import settle, small, with_texts
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -37,8 +37,6 @@ SLOTS = BANDS * BAND_SLOTS
 PART_CLASSES, PART_SHINGLES = 1024, 2_000_000
 #: Families of more classes are compared with their centre first.
 LARGE = 8 * PART_CLASSES
-#: Up to so many rows, what is wanted of the documents is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
 #: Columns of a membership matrix, and pairs that are counted at once.
 COLUMNS, PAIRS = 2048, 4_000_000
 #: Elements whose steps are taken together.
@@ -175,7 +173,7 @@ def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, class, bands) for each row; empty sets have no bands."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = with_texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +247,7 @@ def parts(classes: Column, shingles: Column) -> Column:
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (class, rep, text_key and others) with the text of a document that has the class; of repeated rows, all."""
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    side = small(settle(wanted, "wanted"))
     own = F.col("d.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("d.text_key") == F.col("w.text_key"))
     return d.join(side.alias("w"), own).select("w.*", "d.text")
 
@@ -295,7 +293,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     meet = banded.join(shared.select("band", "first"), "band").where(F.col("class") != F.col("first"))
     families = components(meet.select(F.col("class").alias("a"), F.col("first").alias("b")).distinct())
     own = families.select(F.col("node").alias("class"), F.col("label").alias("family"))
-    members = settle(classes.select("class", "n", "rep", "text_key").join(own, "class"), "members")
+    members = settle(classes.select("class", "n", "rep", "text_key").join(small(own), "class"), "members")
     large = settle(members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("family"), "large-families")
     if large.isEmpty():
         return compared(texts_of(docs, all_blocks(members.withColumn("near", F.lit(False)))))
@@ -318,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = sketches.where(F.col("n_shingles") > 0)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
     classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("class", "n", "bands", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
-    labels = components(links(docs, classes))
+    labels = small(components(links(docs, classes)))
     grouped = classes.select("class", "rep").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "l.label")
     smallest = grouped.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("component"))
     named = grouped.alias("g").join(smallest.alias("s"), F.col("g.label") == F.col("s.label"), "left").select("g.class", F.when(F.col("g.label").isNull(), F.col("g.rep")).otherwise(F.col("s.component")).alias("component"))
@@ -329,7 +327,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that ``near_duplicates`` keeps."""
-    kept = near_duplicates(docs).where("kept").select("doc_id", "text_key").distinct()
+    gone = small(settle(near_duplicates(docs).where("not kept").select("doc_id", "text_key").distinct(), "gone"))
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("text_key", F.xxhash64("doc.text"))
-    same = F.col("d.doc.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
-    return d.alias("d").join(kept.alias("k"), same, "left_semi").select("doc.*")
+    same = F.col("d.doc.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
+    return d.alias("d").join(gone.alias("g"), same, "left_anti").select("doc.*")

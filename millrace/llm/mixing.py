@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import n_words, settle
+from millrace.llm.common import n_words, settle, small
 
 # The weights, dealt to the sources in their order.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -22,8 +22,6 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hexadecimal digits of the key that make a bucket.
 BUCKET_DIGITS = 3
-#: Up to so many sources, their table is broadcast; beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 20_000
 
 
 def key_of(doc_id: Column, seed: str) -> Column:
@@ -86,8 +84,7 @@ def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights:
     target 0 and is not taken. A null doc_id has a key like others. Other columns stay in ``doc``,
     whatever their names. An empty table gives an empty one. ``rows``: ``sized(df)``, if at hand.
     """
-    table = settle(cuts(sized(df, seed) if rows is None else rows, weights, max_epochs), "mix-cuts")
-    side = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+    side = small(settle(cuts(sized(df, seed) if rows is None else rows, weights, max_epochs), "mix-cuts"))
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.col("source"), key_of(F.col("doc_id"), seed).alias("key"))
     once = F.coalesce(F.col("a.key") <= F.col("b.last_key"), F.lit(False)).cast("long")
     repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once).otherwise(F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle
+from millrace.llm.common import settle, with_texts
 
 SEQUENCE = 1024
 #: The id that ends each document.
@@ -78,7 +78,7 @@ def tokenise(df: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     others; other columns are ignored; an empty table gives an empty one. ``with_ids``: without it
     the ids themselves are left out.
     """
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_texts(df).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

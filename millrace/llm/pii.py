@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import with_texts
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Found besides the base kinds: web and mail addresses, IPv6 and street addresses, account numbers.
 MORE_KINDS = ("url", "ipv6", "street", "iban", "account", "ssn")
@@ -156,7 +158,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     by itself: repeated rows and null ids pass through, other columns are ignored, an empty table
     gives an empty one. A text of any length is scanned whole in one pass.
     """
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_texts(df).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import with_texts
+
 BASE_KINDS = ("assign", "access", "hex")
 #: Found besides the base kinds: checksummed tokens, private key blocks.
 MORE_KINDS = ("checked_token", "private_key")
@@ -107,7 +109,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by itself: repeated rows and null ids pass through, other columns are ignored, an empty table
     gives an empty one. A text of any length is scanned whole.
     """
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_texts(df).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
@@ -137,7 +139,7 @@ def masked(text: str | None) -> str | None:
 
 def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the secrets in its text masked; all rows and columns stay, null stays null."""
-    names = df.columns
+    names = with_texts(df).columns
     place = names.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

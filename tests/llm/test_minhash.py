@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import minhash, queries, sql
+from millrace.llm import common, minhash, queries, sql
 from millrace.llm.components import Groups, components
 from millrace.llm.minhash import SLOTS, Shingler, bands, deduplicated, near_duplicates, signatures
 from tests.helpers import assert_same
@@ -93,7 +93,7 @@ def test_groups_equal_brute_force(docs):
 @pytest.mark.parametrize("limits", [{}, {"PART_CLASSES": 4}, {"PART_SHINGLES": 300}, {"PART_CLASSES": 5, "LARGE": 3}, {"LARGE": 3, "BROADCAST_ROWS": 0}])
 def test_chains_and_shared_passages_equal_brute_force(docs, monkeypatch, limits):
     for name, value in limits.items():
-        monkeypatch.setattr(minhash, name, value)
+        monkeypatch.setattr(common if name == "BROADCAST_ROWS" else minhash, name, value)
     r = random.Random(5)
     words = [f"c{k}" for k in range(100)]
     rows = []

@@ -68,11 +68,11 @@ def test_hard_rows(docs):
 
 
 def test_many_sources_are_joined_by_shuffle(docs, monkeypatch):
-    from millrace.llm import mixing
+    from millrace.llm import common
 
     df = docs(*[f"a b {k}" for k in range(50)])
     wanted = sorted((r.doc.doc_id, r.repeats) for r in mix(df).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted((r.doc.doc_id, r.repeats) for r in mix(df).collect()) == wanted
 
 
