@@ -66,28 +66,34 @@ def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     upto = by_bucket.withColumn("upto", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*running)))
     within = (F.col("a.upto") - F.col("a.bucket_size") < F.col("b.need")) & (F.col("b.need") <= F.col("a.upto"))
     ends = upto.alias("a").join(shares.alias("b"), same).where(within).select("a.source", "a.bucket", (F.col("b.need") - F.col("a.upto") + F.col("a.bucket_size")).alias("left"))
-    # Within it, the last key that is taken: the last document goes if more than half of it is needed.
+    # Within it, the last key that is still whole, and what is then missing in whole words.
     inside = rows.alias("a").join(ends.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket"))).groupBy("a.source", "a.key", "b.left").agg(F.sum("a.size").alias("key_size"))
     passed = inside.withColumn("passed", F.sum("key_size").over(Window.partitionBy("source").orderBy("key").rowsBetween(*running)))
-    last = passed.where(F.col("passed") - F.col("key_size") / 2 <= F.col("left")).groupBy("source").agg(F.max("key").alias("last_key"))
-    end = ends.alias("a").join(last.alias("b"), same, "left").select("a.source", F.coalesce("b.last_key", "a.bucket").alias("last_key"))
-    return shares.alias("a").join(end.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key")
+    last = passed.where(F.col("passed") <= F.col("left")).groupBy("source").agg(F.max("key").alias("last_key"), F.max("passed").alias("passed"))
+    missing = F.floor(F.round(F.col("a.left") - F.coalesce("b.passed", F.lit(0)), 6))
+    end = settle(ends.alias("a").join(last.alias("b"), same, "left").select("a.source", F.coalesce("b.last_key", "a.bucket").alias("last_key"), missing.alias("missing")), "mix-ends")
+    # Of the documents behind it, the one whose size is nearest to that.
+    off = F.abs(F.col("a.size") - F.col("b.missing"))
+    behind = rows.alias("a").join(small(end).alias("b"), same).where((F.col("a.key") > F.col("b.last_key")) & (off < F.col("b.missing")))
+    extra = behind.groupBy("a.source").agg(F.min(F.struct(off.alias("off"), F.col("a.key").alias("key")))["key"].alias("extra_key"))
+    found = end.alias("a").join(extra.alias("b"), same, "left").select("a.source", "a.last_key", "b.extra_key")
+    return shares.alias("a").join(found.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", "b.extra_key")
 
 
 def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(doc, source_size, target, repeats): each row of ``df`` as the struct ``doc``, and how often the mix takes it.
 
     Of a source, every document is taken as often as its target holds the source whole, and those
-    with the smallest keys once more, up to the document nearest to the target. Reruns agree, as
-    the key depends on seed and doc_id alone; documents with equal keys (repeated ids) go together.
+    with the smallest keys once more, as long as they fit, and then the document that fills best
+    what is missing. Reruns agree, as the key depends on seed and doc_id alone; documents with equal keys (repeated ids) go together.
     A null source is a source, the last; a null text has no words; a source without words has
     target 0 and is not taken. A null doc_id has a key like others. Other columns stay in ``doc``,
     whatever their names. An empty table gives an empty one. ``rows``: ``sized(df)``, if at hand.
     """
     side = small(settle(cuts(sized(df, seed) if rows is None else rows, weights, max_epochs), "mix-cuts"))
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.col("source"), key_of(F.col("doc_id"), seed).alias("key"))
-    once = F.coalesce(F.col("a.key") <= F.col("b.last_key"), F.lit(False)).cast("long")
-    repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once).otherwise(F.lit(0)).cast("long")
+    once = F.coalesce(F.col("a.key") <= F.col("b.last_key"), F.lit(False)) | F.coalesce(F.col("a.key") == F.col("b.extra_key"), F.lit(False))
+    repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
     joined = keyed.alias("a").join(side.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     return joined.select("a.doc", "b.source_size", "b.target", repeats.alias("repeats"))
 

@@ -70,11 +70,14 @@ WITH RECURSIVE sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
 ), running AS (
   SELECT d.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS passed,
-    sum(d.size) OVER (PARTITION BY d.source, d.key) AS key_size
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS passed
   FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+), lacking AS (
+  SELECT *, floor(round(need - coalesce(max(passed) FILTER (WHERE passed <= need) OVER (PARTITION BY source), 0), 6))::BIGINT AS missing FROM running
+), fills AS (
+  SELECT source, arg_min(key, (abs(size - missing), key)) AS extra_key FROM lacking WHERE passed > need AND need > 0 AND abs(size - missing) < missing GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
-  (size * CASE WHEN source_size > 0 THEN whole + CASE WHEN passed - key_size / 2 <= need AND need > 0 THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS taken
-FROM running
+  (size * CASE WHEN source_size > 0 THEN whole + CASE WHEN need > 0 AND passed <= need OR key = extra_key THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS taken
+FROM lacking l LEFT JOIN fills f ON l.source IS NOT DISTINCT FROM f.source
 """

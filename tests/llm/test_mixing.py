@@ -48,7 +48,7 @@ def test_sources_come_near_their_targets(spark):
         target[x.doc.source] = x.target
         assert 0 <= x.repeats <= 3
     assert target == pytest.approx(filled(sizes))
-    assert all(abs(taken[s] - target[s]) <= 60 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
 def test_reruns_agree_whatever_the_partitions(docs):
