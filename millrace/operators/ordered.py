@@ -30,6 +30,6 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[
 
 
 def sessions(df: DataFrame, key: str, at: str, gap: str) -> DataFrame:
-    """(key, start, n): runs of a key's rows with less than ``gap`` between neighbours."""
+    """(key, start, n): runs of a key's rows with at most ``gap`` between neighbours."""
     spans = df.groupBy(key, F.session_window(at, gap).alias("span")).agg(F.count("*").alias("n"))
     return spans.select(key, F.col("span.start").alias("start"), "n")

@@ -70,7 +70,7 @@ WHERE c_mktsegment = 'BUILDING' GROUP BY ALL ORDER BY revenue DESC, o_orderkey L
     "top_lines": """SELECT l_partkey, l_extendedprice, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS rn
 FROM lineitem QUALIFY rn <= 3""",
     "customers_by_place": "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
-    "user_sessions": """WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    "user_sessions": """WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM numbered GROUP BY user_id, session""",
     "last_view": """SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -29,5 +29,5 @@ def test_top_k(spark):
 
 
 def test_sessions_split_at_the_gap(spark):
-    df = spark.createDataFrame([("a", at(0)), ("a", at(9)), ("a", at(19))], "k string, ts timestamp")
+    df = spark.createDataFrame([("a", at(0)), ("a", at(9)), ("a", at(20))], "k string, ts timestamp")
     assert sorted(r.n for r in sessions(df, "k", "ts", "10 minutes").collect()) == [1, 2]
