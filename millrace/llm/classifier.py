@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import with_texts
 
@@ -190,13 +190,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null text is empty; an empty text has a score like others. Repeated rows, null ids and other
     columns of any name pass through; an empty table gives an empty one.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # SIZE * (FACTORS + 1) numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * (FACTORS + 1) numbers
+    rows = with_texts(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    place = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser()
-        out = [shared.value.score([make(x) for x in texts.iloc[k : k + 256]]) for k in range(0, len(texts), 256)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        for batch in batches:
+            texts = batch.column(0).field(place)
+            parts = [shared.value.score([make(x.as_py() or "") for x in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc", "score"])
 
-    return with_texts(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), scored(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
+    kind = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(scored, kind)

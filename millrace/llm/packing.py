@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import settle, with_texts
 
@@ -37,12 +37,19 @@ LONG_RUN = re.compile(r"\s{5000}|\S{5000}")
 
 
 @lru_cache(maxsize=2)
-def encoders(path: str):
-    """(tokenizers' own encoder, an encoder of the same merges that is four times as fast)."""
+def own_encoder(path: str):
+    """The file's own library; loaded only where a text needs it, as it takes memory."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def fast_encoder(path: str):
+    """(an encoder of the same merges that is four times as fast, the special tokens)."""
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -52,16 +59,16 @@ def encoders(path: str):
     byte = {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the public vocabulary's own word pattern
-    return Tokenizer.from_file(path), tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={}), tuple(special)
+    return tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={}), tuple(special)
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
     """The document's ids, with END_ID behind them, as the file's own library gives them."""
-    slow, fast, special = encoders(path)
+    fast, special = fast_encoder(path)
     if COMMON.match(text) and not any(x in text for x in special) and not (len(text) > 5000 and LONG_RUN.search(text)):
         ids = fast.encode_to_numpy(text)
     else:
-        ids = np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(own_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 
@@ -214,16 +221,17 @@ def pack(pieces: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row.doc_id", "row.piece")) - 1
     ranked = dealt.withColumn("place", rank).join(firsts, ["length", "bucket"]).select("row", "length", (F.col("first") + F.col("place")).cast("long").alias("rank"))
 
-    @F.pandas_udf("struct<sequence_id:long,offset:long>")
-    def find(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = segments.value
         # Segments are sorted by length and first rank: the last that is not behind the piece is its own.
         keys = table[:, 0] * (1 << 48) + table[:, 1]
-        at = np.searchsorted(keys, length.to_numpy() * (1 << 48) + rank.to_numpy(), side="right") - 1
-        own = table[at]
-        return pd.DataFrame({"sequence_id": own[:, 3] + rank.to_numpy() - own[:, 1], "offset": own[:, 4]})
+        for batch in batches:
+            length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            own = table[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4])], ["row", "sequence_id", "offset"])
 
-    return ranked.withColumn("at", find("length", "rank")).select("row.*", "at.sequence_id", "at.offset")
+    kind = T.StructType([T.StructField("row", ranked.schema["row"].dataType), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.select("row", F.col("length").cast("long"), "rank").mapInArrow(find, kind).select("row.*", "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str) -> DataFrame:
