@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import with_texts
+from millrace.llm.common import frugal, with_texts
 
 WORD_BITS = 14
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
                 ["doc_id", "quality", "places", "values", "stats"],
             )
 
-    found = rows.mapInArrow(features, "doc_id string, quality int, places array<int>, values array<float>, stats array<double>").toArrow()
+    found = rows.mapInArrow(frugal(features), "doc_id string, quality int, places array<int>, values array<float>, stats array<double>").toArrow()
     # Tasks end in any order; the fit takes rows in one.
     keys = sorted((zlib.crc32(str(i).encode()), str(i), q, tuple(s), k) for k, (i, q, s) in enumerate(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), found["stats"].to_pylist(), strict=True)))
     order = [k[-1] for k in keys]
@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc", "score"])
 
     kind = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(scored, kind)
+    return rows.mapInArrow(frugal(scored), kind)

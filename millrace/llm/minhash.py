@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Groups, components
-from millrace.llm.common import settle, small, with_texts
+from millrace.llm.common import frugal, settle, small, with_texts
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -196,7 +196,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     yield out(batch.column(0)[first : k + 1], batch.column(1)[first : k + 1], sets)
                     first, sets, total = k + 1, [], 0
 
-    return rows.mapInArrow(draw, f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>")
+    return rows.mapInArrow(frugal(draw), f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>")
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def compared(rows: DataFrame) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("block").sortWithinPartitions("block").select("block", "side", "class", "text").mapInArrow(check, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block").select("block", "side", "class", "text").mapInArrow(frugal(check), "a long, b long")
 
 
 def parts(classes: Column, shingles: Column) -> Column:
@@ -296,11 +296,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = settle(classes.select("class", "n", "rep", "text_key").join(small(own), "class"), "members")
     large = settle(members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("family"), "large-families")
     if large.isEmpty():
-        return compared(texts_of(docs, all_blocks(members.withColumn("near", F.lit(False)))))
+        return settle(compared(texts_of(docs, all_blocks(members.withColumn("near", F.lit(False))))), "links-found")
     star = settle(compared(texts_of(docs, star_blocks(members.join(large, "family")))), "star-links")
     near = star.select(F.col("a").alias("class"), F.lit(True).alias("is_near")).distinct()
     rest = settle(members.join(near, "class", "left").withColumn("near", F.coalesce("is_near", F.lit(False))).drop("is_near"), "members-near")
-    return compared(texts_of(docs, all_blocks(rest))).union(star)
+    return settle(compared(texts_of(docs, all_blocks(rest))), "links-found").union(star)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

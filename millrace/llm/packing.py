@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import settle, with_texts
+from millrace.llm.common import frugal, settle, with_texts
 
 SEQUENCE = 1024
 #: The id that ends each document.
@@ -103,7 +103,7 @@ def tokenise(df: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(made[: 5 + with_ids], names[: 5 + with_ids])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(frugal(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:

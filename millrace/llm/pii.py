@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import with_texts
+from millrace.llm.common import frugal, with_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Found besides the base kinds: web and mail addresses, IPv6 and street addresses, account numbers.
@@ -169,7 +169,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 spans.append([{"kind": k, "start": a, "end": b, "value": text[a:b]} for k, a, b in spans_of(text)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
-    return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPAN_TYPE}")
+    return rows.mapInArrow(frugal(scan), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPAN_TYPE}")
 
 
 def redact(text: str) -> str:

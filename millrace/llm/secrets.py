@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import with_texts
+from millrace.llm.common import frugal, with_texts
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Found besides the base kinds: checksummed tokens, private key blocks.
@@ -43,8 +43,9 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 def prefilter() -> ahocorasick.Automaton:
     """Over lower-cased text. Every run of 16 hexadecimal digits has one of the runs of four."""
     found = ahocorasick.Automaton()
+    digits = ("hex", 4)
     for x in itertools.product("0123456789abcdef", repeat=4):
-        found.add_word("".join(x), ("hex", 4))
+        found.add_word("".join(x), digits)
     for x in NAMES:
         found.add_word(x, ("assign", len(x)))
     found.add_word("akia", ("access", 4))
@@ -120,7 +121,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 spans.append([{"kind": k, "start": a, "end": b, "value": text[a:b]} for k, a, b in spans_of(text)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [id_col, "spans"])
 
-    return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPAN_TYPE}")
+    return rows.mapInArrow(frugal(scan), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPAN_TYPE}")
 
 
 def masked(text: str | None) -> str | None:
@@ -149,4 +150,4 @@ def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
             columns[place] = texts
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(frugal(scan), df.schema)
