@@ -15,8 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table as a stream; times without zone become instants, as watermarks need them."""
-    path = f"{folder}/{name}.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A stream takes a single file only by a pattern.
+    rows = spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
