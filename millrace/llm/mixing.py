@@ -6,7 +6,8 @@ cap over weight, those that end at their cap come first, so one pass over the so
 water level. Sampling: a source's target is whole repetitions of all its documents and a seeded
 fraction of them once more. The fraction is the documents with the smallest seeded keys; where
 it ends is found from sizes per key bucket, and then within the one bucket per source in which it
-falls, so no source's documents ever meet in one task.
+falls, so no source's documents ever meet in one task. What is then missing is filled in rounds
+from the documents behind it that fit, until none does; a round at least halves what is missing.
 """
 
 from __future__ import annotations
@@ -54,8 +55,65 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
     return tried.select("source", "source_size", F.coalesce(F.least("cap", first["level"] * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """From ``sized`` rows, per source: source_size, target, whole repetitions, and where the fraction ends."""
+def fills(rows: DataFrame, end: DataFrame) -> DataFrame:
+    """(source, key): what fills the words ``missing`` behind ``last_key``, from ``sized`` rows and ``end`` (source, last_key, missing).
+
+    In a round a source takes, of the keys that fit, the smallest up to the first that does not, or
+    the single largest, whichever leaves less: one of them is over half of what is missing, so rounds
+    are few. They go on until nothing fits. In each round the smallest key too large is noted too:
+    where one comes nearer to the target than all rounds do, rounds end there, with it.
+    """
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    wanted = end.where(F.col("missing") > 0)
+    behind = rows.alias("a").join(small(wanted).alias("b"), same).where(F.col("a.key") > F.col("b.last_key"))
+    units = behind.groupBy("a.source", "a.bucket", "a.key", "b.missing").agg(F.sum("a.size").alias("size"))
+    useful = (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))
+    pool = settle(units.where(useful), "mix-pool")
+    steps, taken = [], []
+    while not pool.isEmpty():
+        fits = pool.where(F.col("size") <= F.col("missing"))
+        singles = pool.groupBy("source", "missing").agg(
+            F.max(F.when(F.col("size") <= F.col("missing"), F.col("size"))).alias("most"),
+            F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", "key"))).alias("above"),
+            F.sum(F.when(F.col("size") <= F.col("missing"), F.col("size"))).alias("fitting"),
+        )
+        largest = fits.alias("a").join(singles.alias("b"), same).where(F.col("a.size") == F.col("b.most")).groupBy("a.source").agg(F.min("a.key").alias("key"))
+        by_bucket = fits.groupBy("source", "bucket", "missing").agg(F.sum("size").alias("bucket_size"))
+        upto = by_bucket.withColumn("upto", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        ends = upto.where((F.col("upto") > F.col("missing")) & (F.col("upto") - F.col("bucket_size") <= F.col("missing"))).withColumn("before", F.col("upto") - F.col("bucket_size"))
+        inside = fits.alias("a").join(ends.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket"))).select("a.source", "a.key", "a.size", "a.missing", "b.before")
+        passed = inside.withColumn("passed", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        stops = passed.where(F.col("passed") > F.col("missing")).groupBy("source").agg(F.min(F.struct("key", (F.col("passed") - F.col("size")).alias("sum"))).alias("stop"))
+        tried = singles.alias("a").join(largest.alias("b"), same, "left").select("a.*", F.col("b.key").alias("largest"))
+        tried = tried.alias("a").join(stops.alias("b"), same, "left").select("a.*", "b.stop")
+        first = F.coalesce("stop.sum", "fitting", F.lit(0))
+        alone = F.coalesce("most", F.lit(0)) > first
+        step = tried.select("source", "missing", "above", "largest", F.col("stop.key").alias("stop"), alone.alias("alone"), (F.col("missing") - F.greatest(first, F.coalesce("most", F.lit(0)))).alias("left"))
+        step = settle(step.withColumn("round", F.lit(len(steps))), "mix-step")
+        steps.append(step)
+        one = F.when(F.col("b.alone"), F.col("a.key") == F.col("b.largest")).otherwise(F.coalesce(F.col("a.key") < F.col("b.stop"), F.lit(True)))
+        dealt = pool.alias("a").join(small(step).alias("b"), same).select("a.source", "a.bucket", "a.key", "a.size", "b.left", "b.round", ((F.col("a.size") <= F.col("a.missing")) & one).alias("one"))
+        taken.append(dealt.where("one").select("source", "key", "round"))
+        # A source in which nothing fits any more has had its last round.
+        rest = dealt.where(~F.col("one")).select("source", "bucket", "key", "size", F.col("left").alias("missing"))
+        going = small(step.where(F.col("left") < F.col("missing")).select("source"))
+        pool = settle(rest.alias("a").join(going.alias("b"), same, "left_semi").where(useful), "mix-pool")
+    if not steps:
+        return pool.select("source", "key")
+    rounds, every = steps[0], taken[0]
+    for step, more in zip(steps[1:], taken[1:], strict=True):
+        rounds, every = rounds.union(step), every.union(more)
+    # Where rounds end: before the one whose key too large is nearest to the target, if it is nearer than what all rounds leave.
+    over = F.min(F.when(F.col("above").isNotNull(), F.struct((F.col("above.size") - F.col("missing")).alias("off"), F.col("round").alias("round"), F.col("above.key").alias("key"))))
+    final = settle(rounds.groupBy("source").agg(F.min("left").alias("left"), over.alias("over")), "mix-final")
+    ends_over = F.coalesce(F.col("over.off") < F.col("left"), F.lit(False))
+    until = small(final.select("source", F.when(ends_over, F.col("over.round")).alias("until")))
+    kept = every.alias("a").join(until.alias("b"), same).where(F.col("b.until").isNull() | (F.col("a.round") < F.col("b.until"))).select("a.source", "a.key")
+    return settle(kept.union(final.where(ends_over).select("source", "over.key")), "mix-fills")
+
+
+def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, fill: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """From ``sized`` rows, per source: source_size, target, whole repetitions, and where the fraction ends; and its ``fills``."""
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     running = (Window.unboundedPreceding, Window.currentRow)
     by_bucket = settle(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
@@ -72,28 +130,37 @@ def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     last = passed.where(F.col("passed") <= F.col("left")).groupBy("source").agg(F.max("key").alias("last_key"), F.max("passed").alias("passed"))
     missing = F.floor(F.round(F.col("a.left") - F.coalesce("b.passed", F.lit(0)), 6))
     end = settle(ends.alias("a").join(last.alias("b"), same, "left").select("a.source", F.coalesce("b.last_key", "a.bucket").alias("last_key"), missing.alias("missing")), "mix-ends")
+    if fill:
+        found = shares.alias("a").join(end.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", F.lit(None).cast("string").alias("extra_key"))
+        return found, fills(rows, end)
     # Of the documents behind it, the one whose size is nearest to that.
     off = F.abs(F.col("a.size") - F.col("b.missing"))
     behind = rows.alias("a").join(small(end).alias("b"), same).where((F.col("a.key") > F.col("b.last_key")) & (off < F.col("b.missing")))
     extra = behind.groupBy("a.source").agg(F.min(F.struct(off.alias("off"), F.col("a.key").alias("key")))["key"].alias("extra_key"))
     found = end.alias("a").join(extra.alias("b"), same, "left").select("a.source", "a.last_key", "b.extra_key")
-    return shares.alias("a").join(found.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", "b.extra_key")
+    return shares.alias("a").join(found.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", "b.extra_key"), None
 
 
-def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, fill: bool = True) -> DataFrame:
     """(doc, source_size, target, repeats): each row of ``df`` as the struct ``doc``, and how often the mix takes it.
 
     Of a source, every document is taken as often as its target holds the source whole, and those
-    with the smallest keys once more, as long as they fit, and then the document that fills best
-    what is missing. Reruns agree, as the key depends on seed and doc_id alone; documents with equal keys (repeated ids) go together.
+    with the smallest keys once more, as long as they fit, and then those behind them that fill what
+    is missing (``fills``); without ``fill``, as op9's SQL has it, the one document that fills it best. Reruns agree, as the key depends on seed and doc_id alone; documents with equal keys (repeated ids) go together.
     A null source is a source, the last; a null text has no words; a source without words has
     target 0 and is not taken. A null doc_id has a key like others. Other columns stay in ``doc``,
     whatever their names. An empty table gives an empty one. ``rows``: ``sized(df)``, if at hand.
     """
-    side = small(settle(cuts(sized(df, seed) if rows is None else rows, weights, max_epochs), "mix-cuts"))
+    found, filled = cuts(sized(df, seed) if rows is None else rows, weights, max_epochs, fill)
+    side = small(settle(found, "mix-cuts"))
     keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.col("source"), key_of(F.col("doc_id"), seed).alias("key"))
     once = F.coalesce(F.col("a.key") <= F.col("b.last_key"), F.lit(False)) | F.coalesce(F.col("a.key") == F.col("b.extra_key"), F.lit(False))
     repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
+    if filled is not None:
+        more = small(filled.withColumn("more", F.lit(True)))
+        keyed = keyed.alias("a").join(more.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.key") == F.col("b.key")), "left").select("a.*", "b.more")
+        once = once | F.coalesce(F.col("a.more"), F.lit(False))
+        repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
     joined = keyed.alias("a").join(side.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     return joined.select("a.doc", "b.source_size", "b.target", repeats.alias("repeats"))
 

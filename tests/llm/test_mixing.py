@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries, sql
 from millrace.llm.mixing import mix, mixed, sized, targets
@@ -51,6 +52,15 @@ def test_sources_come_near_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
+@pytest.mark.parametrize("seed", ["mix-1", "mix-2"])
+def test_a_huge_document_keeps_no_source_from_its_target(docs, seed):
+    rows = [(k, "w " * 100, "s0") for k in range(1000)] + [(1000, "w " * 100_000, "s0"), (1001, "w " * 200_000, "s1")]
+    # A weight of 1 to 3: s0, of 200,000 words, gets 100,000.
+    found = mix(docs(*[r[:2] for r in rows]).drop("source").withColumn("source", F.when(F.col("doc_id") > 1000, "s1").otherwise("s0")), seed=seed, weights=(1.0, 3.0)).collect()
+    taken = sum(len(x.doc.text.split()) * x.repeats for x in found if x.doc.source == "s0")
+    assert {x.target for x in found if x.doc.source == "s0"} == {100_000.0} and taken == 100_000
+
+
 def test_reruns_agree_whatever_the_partitions(docs):
     df = docs(*[f"a b {k}" for k in range(200)])
     runs = [sorted((r.doc.doc_id, r.repeats) for r in mix(x).collect()) for x in (df, df.repartition(7))]
