@@ -21,6 +21,8 @@ N_SHARDS = 40
 BUNDLES = 256
 #: Groups over this part of a shard are items, those over WHOLE are cut into pieces of about this part.
 LARGE, WHOLE = 1 / 16, 1 / 2
+#: Of a cut group, rows of one id that are over this part of a shard are dealt to its pieces row by row.
+COPIES = 1 / 256
 #: Part of a shard's bytes by which shards may differ in the end.
 GIVE = 0.005
 RESOURCES = ("bytes", "tokens", "rows")
@@ -48,10 +50,10 @@ def place(items: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, digest): a null text is taken as an empty one; words stand for tokens."""
+    """(doc_id, size, tokens, text_crc32, digest, salt): a null text is taken as an empty one; words stand for tokens; salts differ, and are fixed once the rows are settled."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return df.select(
-        "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), n_words(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest")
+        "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), n_words(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("salt")
     )
 
 
@@ -63,8 +65,8 @@ def shard(df: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``df``: doc_id, text.
 
     Slots count from 0 in each shard without gaps. Rows with equal texts share a shard unless they
-    are over half of one. Repeated rows and null ids are rows like others; rows that agree in id
-    and text may swap slots. Other columns are ignored. An empty table gives an empty one.
+    are over half of one. Repeated rows and null ids are rows like others, and a group of them is
+    cut like others; rows that agree in id and text may swap places. Other columns are ignored. An empty table gives an empty one.
     """
     spark = df.sparkSession
     rows = settle(measured(df), "shard-rows")
@@ -75,9 +77,14 @@ def shard(df: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     large = settle(rows.groupBy("digest").agg(*sums()).withColumn("share", share).where(F.col("share") > LARGE), "shard-large")
     pieces = F.when(F.col("share") > WHOLE, F.least(F.col("rows"), F.ceil(F.col("share") / F.lit(LARGE)))).otherwise(F.lit(1)).cast("long")
     known = F.broadcast(large.select("digest", pieces.alias("pieces"), F.lit(True).alias("large")))
+    # Within cut groups, ids of many rows: at most n_shards / COPIES a resource.
+    cut = F.broadcast(large.select("digest", pieces.alias("pieces")).where("pieces > 1"))
+    copies = settle(rows.join(cut, "digest").groupBy("digest", "doc_id").agg(*sums()).where(share > COPIES).select("digest", "doc_id", F.lit(True).alias("copied")), "shard-copies")
+    alike = (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("digest"), F.lit(n_shards * BUNDLES)).cast("string"))
-    piece = F.concat(F.col("digest"), F.lit("/"), F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("string"))
-    dealt = rows.join(known, "digest", "left").withColumn("item", F.when(F.col("large"), piece).otherwise(bundle))
+    piece = F.concat(F.col("digest"), F.lit("/"), F.pmod(F.when(F.col("copied"), F.xxhash64("salt")).otherwise(F.xxhash64("doc_id")), F.col("pieces")).cast("string"))
+    salted = rows.alias("a").join(F.broadcast(copies).alias("b"), alike, "left").select("a.*", "b.copied")
+    dealt = salted.join(known, "digest", "left").withColumn("item", F.when(F.col("large"), piece).otherwise(bundle))
     items = sorted(dealt.groupBy("item").agg(*sums()).collect())  # at most a few times n_shards * (BUNDLES + 1 / LARGE)
     shards = place(np.array([[x[r] for r in RESOURCES] for x in items], float).reshape(-1, len(RESOURCES)), n_shards)
     used, starts = [0] * n_shards, []

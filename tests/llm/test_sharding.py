@@ -56,6 +56,16 @@ def test_a_hot_group_is_cut_and_others_stay_whole(docs):
     assert len(groups["copy " * 20]) > 1 and all(len(v) == 1 for t, v in groups.items() if t != "copy " * 20)
 
 
+def test_a_hot_group_of_repeated_and_null_ids_is_cut(docs):
+    rows = [(None, "copy " * 20)] * 450 + [(7, "copy " * 20)] * 450 + [(100 + k, f"one {k}" * 15) for k in range(1800)]
+    found = shard(docs(*rows)).collect()
+    size, n_rows, groups = check(found, dict(rows))
+    assert len(found) == len(rows) and len(size) == 40
+    assert max(size.values()) / min(size.values()) < 1.05
+    assert len({r.shard for r in found if r.doc_id is None}) > 1 and len({r.shard for r in found if r.doc_id == 7}) > 1
+    assert all(len(v) == 1 for t, v in groups.items() if t != "copy " * 20)
+
+
 def test_hard_rows(docs):
     rows = [(None, "x"), (7, "x"), (7, "x"), *((100 + k, t) for k, t in enumerate(HARD))]
     found = shard(docs(*rows, clashing=True)).collect()
