@@ -303,6 +303,26 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(compared(texts_of(docs, all_blocks(rest))), "links-found").union(star)
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """``near_duplicates``, and ``first``: whether a row agrees in id and text with the first of its group, null ids last; null without shingles."""
+    sketches = settle(sketch(docs), "sketches")
+    filled = sketches.where(F.col("n_shingles") > 0)
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
+    classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("class", "n", "bands", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
+    labels = small(components(links(docs, classes)))
+    labelled = classes.select("class", "rep", "text_key").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "c.text_key", "l.label")
+    head = F.struct(F.col("rep").isNull().alias("void"), F.col("rep").alias("doc_id"), "text_key")
+    smallest = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("component"), F.min(head).alias("head"))
+    alone = F.col("g.label").isNull()
+    named = labelled.withColumn("own", head).alias("g").join(smallest.alias("s"), F.col("g.label") == F.col("s.label"), "left").select(
+        "g.class", F.when(alone, F.col("g.rep")).otherwise(F.col("s.component")).alias("component"), F.when(alone, F.col("g.own")).otherwise(F.col("s.head")).alias("head")
+    )
+    joined = sketches.select("doc_id", "text_key", "n_shingles", "class").alias("d").join(named.alias("n"), (F.col("d.class") == F.col("n.class")) & (F.col("d.n_shingles") > 0), "left")
+    component = F.when(F.col("d.n_shingles") > 0, F.col("n.component")).otherwise(F.col("d.doc_id"))
+    first = F.when(F.col("d.n_shingles") > 0, F.col("d.doc_id").eqNullSafe(F.col("n.head.doc_id")) & (F.col("d.text_key") == F.col("n.head.text_key")))
+    return joined.select("d.doc_id", "d.text_key", "d.n_shingles", component.alias("component_id"), F.col("d.doc_id").eqNullSafe(component).alias("kept"), first.alias("first"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) for every row of ``docs``: doc_id, text.
 
@@ -312,22 +332,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that agree in id and text get equal results. A null id is larger than any other: a component of null ids has a
     null component_id, and its rows are kept. Other columns are ignored. An empty table gives an empty one.
     """
-    sketches = settle(sketch(docs), "sketches")
-    filled = sketches.where(F.col("n_shingles") > 0)
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
-    classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("class", "n", "bands", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
-    labels = small(components(links(docs, classes)))
-    grouped = classes.select("class", "rep").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "l.label")
-    smallest = grouped.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("component"))
-    named = grouped.alias("g").join(smallest.alias("s"), F.col("g.label") == F.col("s.label"), "left").select("g.class", F.when(F.col("g.label").isNull(), F.col("g.rep")).otherwise(F.col("s.component")).alias("component"))
-    joined = sketches.select("doc_id", "text_key", "n_shingles", "class").alias("d").join(named.alias("n"), (F.col("d.class") == F.col("n.class")) & (F.col("d.n_shingles") > 0), "left")
-    component = F.when(F.col("d.n_shingles") > 0, F.col("n.component")).otherwise(F.col("d.doc_id"))
-    return joined.select("d.doc_id", "d.text_key", "d.n_shingles", component.alias("component_id"), F.col("d.doc_id").eqNullSafe(component).alias("kept"))
+    return grouped(docs).drop("first")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps."""
-    gone = small(settle(near_duplicates(docs).where("not kept").select("doc_id", "text_key").distinct(), "gone"))
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("text_key", F.xxhash64("doc.text"))
+    """The rows of ``docs``, all columns, without all but one of each group of near-duplicates.
+
+    The one has the smallest id, null ids last; of rows that agree in id and text, one stays, chosen by their columns' hash.
+    Rows without shingles are no duplicates and all stay.
+    """
+    pairs = grouped(docs).where(F.col("first").isNotNull()).groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("n"))
+    gone = settle(pairs.where(~F.col("first") | (F.col("n") > 1)).select("doc_id", "text_key", "first"), "gone")
+    repeated = gone.where("first")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("text_key", F.xxhash64("doc.text")).alias("d")
     same = F.col("d.doc.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
-    return d.alias("d").join(gone.alias("g"), same, "left_anti").select("doc.*")
+    kept = d.join(small(gone).alias("g"), same, "left_anti").select("doc.*")
+    if repeated.isEmpty():
+        return kept
+    # Partial aggregation leaves each task one row of a pair, however often it repeats.
+    hashed = F.xxhash64(*(F.col(f"d.doc.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    one = d.join(small(repeated).alias("g"), same).groupBy("g.doc_id", "g.text_key").agg(F.min_by("d.doc", hashed).alias("doc"))
+    return kept.unionByName(one.select("doc.*"))

@@ -143,6 +143,14 @@ def test_hard_rows(docs):
     assert [(r.component_id, r.kept) for r in lonely] == [(None, True)] * 3
 
 
+def test_one_row_of_each_group_stays(docs):
+    near, null = PROSE + " x", " ".join(f"null{k}" for k in range(40))
+    rows = [(50, PROSE)] * 3 + [(50, near), (60, near), (50, "another text altogether here")] + [(None, null)] * 4 + [(None, null + " x")] + [(70, ""), (70, ""), (None, None)]
+    found = deduplicated(docs(*rows, clashing=True)).collect()
+    groups = [(50 if r.text in (PROSE, near) else "null" if r.text and "null" in r.text else r.text, r.doc_id) for r in found]
+    assert sorted(groups, key=repr) == sorted([(50, 50), ("another text altogether here", 50), ("null", None), ("", 70), ("", 70), (None, None)], key=repr)
+
+
 def test_union_find_and_components(spark):
     groups = Groups()
     groups.add([(3, 2), (2, 1), (5, 4), (4, 5)])
