@@ -39,6 +39,7 @@ GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"""[^\s<>"'`{}|\\^]+""")
 COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]*::?[0-9A-Fa-f:]*(?![0-9A-Za-z:])")
+FULL_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,6}(?:\x20[A-Z][a-z]{1,30}){1,3}\x20\Z")
 AFTER_CUE = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20?[:#=]?\x20?", re.I)
 ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9A-Za-z])")
@@ -48,18 +49,18 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,
 
 @lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
+    """Over lower-cased text."""
     found = ahocorasick.Automaton()
     for x in "@+0123456789":
         found.add_word(x, (x if x in "@+" else "digit", 1))
     found.add_word("::", ("colons", 2))
+    found.add_word(":", ("colon", 1))
     for x in SCHEMES:
-        for y in (x, x.upper()):
-            found.add_word(y, ("scheme", len(x)))
+        found.add_word(x, ("scheme", len(x)))
     for x in STREETS:
-        found.add_word(f" {x}", ("street", len(x) + 1))
+        found.add_word(f" {x.lower()}", ("street", len(x) + 1))
     for x in ACCOUNT_CUES:
-        for y in (x, x.upper(), x.capitalize()):
-            found.add_word(y, (x, len(x)))
+        found.add_word(x, (x, len(x)))
     found.make_automaton()
     return found
 
@@ -97,7 +98,8 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         found[kind].append((start, end))
         free[kind] = end
 
-    for last, (anchor, width) in anchors().iter(text):
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for last, (anchor, width) in anchors().iter(low):
         at = last + 1 - width
         if anchor == "digit":
             if at and text[at - 1] in DIGITS:  # the run's first digit has been the anchor
@@ -135,9 +137,16 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
                     start -= 1
                 if (m := COLONS.match(text, start, start + 60)) and is_ipv6(m[0]):
                     keep("ipv6", *m.span())
+        elif anchor == "colon":
+            if at >= free["ipv6"]:
+                start = at
+                while start > free["ipv6"] and at - start < 4 and text[start - 1] in "0123456789abcdefABCDEF":
+                    start -= 1
+                if m := FULL_IPV6.match(text, start):
+                    keep("ipv6", *m.span())
         elif anchor == "street":
             after = text[last + 1 : last + 2]
-            if not after.isalnum() and (m := HOUSE.search(text[max(0, at - 110) : at + 1])):
+            if text[at + 1 : last + 1] in STREETS and not after.isalnum() and (m := HOUSE.search(text[max(0, at - 110) : at + 1])):
                 start = max(0, at - 110) + m.start()
                 if start >= free["street"]:
                     keep("street", start, last + 1)

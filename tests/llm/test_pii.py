@@ -48,6 +48,14 @@ def test_more_kinds():
     assert not [s for s in spans_of("IBAN: GB82 WEST 1234 5698 7654 33 and std::vector a::b") if s[0] in ("iban", "ipv6")]
 
 
+def test_cues_in_any_case_and_full_ipv6():
+    text = "His Social Security Number 123-45-6789, soCial seCurity 123-45-6780; İ host 2001:0db8:85a3:0000:0000:8a2e:0370:7334, or Fe80:0:0:0:1:2:3:4."
+    assert [(k, text[a:b]) for k, a, b in spans_of(text) if k not in BASE_KINDS] == [("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ipv6", "Fe80:0:0:0:1:2:3:4"), ("ssn", "123-45-6789"), ("ssn", "123-45-6780")]
+    assert redact("Social Security 123-45-6789 at 1:2:3:4:5:6:7:8") == "Social Security [ssn] at [ipv6]"
+    assert not [s for s in spans_of("00:1a:2b:3c:4d:5e, 1:2:3:4:5:6:7:8:9, x1:2:3:4:5:6:7:8, 12:30:45, 12 Elm street") if s[0] in ("ipv6", "street")]
+    assert spans_of("1:" * 200_000) == []
+
+
 def test_redaction():
     assert redact("to joe@site.org or +1 (017) 555-7713") == "to [email] or [phone]"
 
