@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset a local session gets a
     folder of its own; a session with executors elsewhere gets an error, as they could not see it.
@@ -31,45 +31,113 @@ def work_root(spark: SparkSession) -> str:
         if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/millrace"
-    return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
+
+
+def work_root(spark: SparkSession) -> str:
+    """This application's folder for tables that cut lineage; it goes with the application."""
+    return f"{shared_root(spark)}/millrace-{spark.sparkContext.applicationId}"
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def folder(spark: SparkSession, path: str) -> tuple:
+    """(the Hadoop file system of ``path``, the path there)."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, found = folder(spark, path)
+    fs.delete(found, True)
+
+
+#: For each open ``Scope``, the tables settled in it.
+OPEN: list[list[str]] = []
+
+
+class Scope:
+    """``with Scope(spark): ...`` deletes the tables that were settled inside, but for those of frames given to ``keep``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        OPEN.append(self.paths)
+        return self
+
+    def keep(self, path: str) -> None:
+        self.paths.remove(path)
+
+    def __exit__(self, *error: object) -> None:
+        OPEN.remove(self.paths)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The table goes with the ``Scope`` that is open, or else when the application ends.
+    """
     spark = df.sparkSession
-    path = work_path(spark, label)
+    path = path or work_path(spark, label)
     df.write.parquet(path)
+    fs, root = folder(spark, work_root(spark))
+    fs.deleteOnExit(root)
+    if OPEN:
+        OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Up to so many rows, the side of a join that has a few short columns is broadcast: some 10 MB.
 BROADCAST_ROWS = 200_000
+#: A sieve has at most two to this power of rows, each of 64 bits, however many keys it stands for.
+SIEVE_SLOTS = 1 << 19
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a count shows that ``df``, settled before, may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def small(df: DataFrame) -> DataFrame:
     """``df``, settled before, to be joined: broadcast if a count shows that it is small, by shuffle otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def sieve(wanted: DataFrame, key: str) -> DataFrame:
+    """(slot, bits): a bitmap of the hash-like keys ``key``. Its size has a bound, so it may be broadcast; the more keys, the more others pass too."""
+    slot, bit = F.pmod(key, F.lit(SIEVE_SLOTS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
+    return wanted.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def sifted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose key may be among those of ``wanted``, and rows whose key is not; neither needs a shuffle."""
+    found = F.broadcast(settle(sieve(wanted, key), "sieve")).alias("s")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.col(f"d.{key}")), F.lit(64)).cast("int"))
+    joined = df.alias("d").join(found, F.pmod(F.col(f"d.{key}"), F.lit(SIEVE_SLOTS)) == F.col("s.slot"), "left")
+    held = F.coalesce(F.col("s.bits").bitwiseAND(bit) != 0, F.lit(False))
+    return joined.where(held).select("d.*"), joined.where(~held).select("d.*")
 
 
 def clear_work(spark: SparkSession) -> None:
     """Delete the tables that this application has settled; none may be in use."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, work_root(spark))
 
 
-#: Rows of an Arrow batch of texts, unless the session says otherwise.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch of texts, unless the session has another bound than Spark's own of 64 MB.
+BATCH_BYTES = 4 << 20
+SPARKS_OWN = "67108864b"
 
 
 def with_texts(df: DataFrame) -> DataFrame:
-    """``df``, whose texts are about to go to Python: batches are made smaller than Spark's default of 10,000 rows, as documents are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    """``df``, whose texts are about to go to Python: the session's Arrow batches get a smaller bound in bytes, as a few columns of Python objects follow from each."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == SPARKS_OWN:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import settle, small
 
 
+#: A task gives out what it has united when it holds more nodes than this, whatever the size of its part of the links.
+MOST_NODES = 500_000
+
+
 class Groups:
     """Union-find; a group is known by its smallest node."""
 
@@ -40,10 +44,17 @@ def unite(links: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
+
+        def out() -> pa.RecordBatch:
+            tree = groups.roots()
+            return pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64())], ["a", "b"])
+
         for batch in batches:
             groups.add(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        tree = groups.roots()
-        yield pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64())], ["a", "b"])
+            if len(groups.parent) > MOST_NODES:
+                yield out()
+                groups.parent.clear()
+        yield out()
 
     return links.select("a", "b").mapInArrow(join, "a long, b long")
 

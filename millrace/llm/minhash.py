@@ -4,19 +4,22 @@ A document's set is its distinct five-word shingles. Documents with equal sets a
 all work on similarity is between classes. Each class has a SuperMinHash signature: every element
 walks a random permutation of the slots, its value at step j lying in [j, j + 1), and a slot keeps
 its smallest value. All elements take a step together; once a document's slots are all filled no later
-step can lower any, so most documents stop after one or two. Bands of the signature bring
-candidates together; full sets confirm every link; union-find groups them.
-
-Classes that meet in a band, and all they lead to, are a family. Within a family all full sets are
-compared, many at once, as counts of common shingles, so a candidate link cannot be lost and a text is
-read once and not once a pair. Families are dealt to blocks of bounded size. A very large family is
-first compared with one centre: the classes near it are in one component already, so only the
-others are compared with all.
+step can lower any, so most documents stop after one or two.
+
+Bands of the signature bring classes together in buckets. Within a bucket whole signatures are
+compared, and classes whose agree in enough slots are candidates of each other. Only what hangs
+together by such candidates is a family, so that classes which share a passage but little else are in
+none, however many meet in a bucket. Of the classes in families the full sets are read, once
+each, and confirm the links within a family; union-find groups them by confirmed links alone.
+
+Buckets and families are compared in blocks of bounded size. One larger than a block is first
+compared with one centre: those near it are in one component already, so only the others are
+compared with all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Groups, components
-from millrace.llm.common import frugal, settle, small, with_texts
+from millrace.llm.common import frugal, is_small, settle, sifted, small, with_texts
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -33,10 +36,10 @@ PERCENT = 75
 #: At the limit a link is missed by all bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, above it less.
 BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
-#: Sizes of a part of a family that is compared at once, in classes and in shingles.
-PART_CLASSES, PART_SHINGLES = 1024, 2_000_000
-#: Families of more classes are compared with their centre first.
-LARGE = 8 * PART_CLASSES
+#: Signatures of candidates agree in so many slots: at the limit fewer do with a probability of 3e-5.
+AGREE = 76
+#: Sizes of a part of a bucket or family that is compared at once, in classes and in shingles.
+PART_CLASSES, PART_SHINGLES = 512, 1_000_000
 #: Columns of a membership matrix, and pairs that are counted at once.
 COLUMNS, PAIRS = 2048, 4_000_000
 #: Elements whose steps are taken together.
@@ -171,8 +174,29 @@ def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return np.argwhere(100 * both >= PERCENT * (sizes - both))
 
 
+def agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """(i, j) of the signatures of x and y that agree in at least AGREE slots."""
+    a, b = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SLOTS) for z in (x, y))
+    found, rows = [], max(1, PAIRS // len(b))
+    for k in range(0, len(a), rows):
+        same = np.zeros((len(a[k : k + rows]), len(b)), np.int16)
+        for slot in range(SLOTS):
+            same += a[k : k + rows, slot, None] == b[None, :, slot]
+        found.append(np.argwhere(same >= AGREE) + [k, 0])
+    return np.concatenate(found)
+
+
+def confirmed(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """(i, j) of the shingle sets of x and y that are linked."""
+    a, b = ([np.frombuffer(s, U) for s in z] for z in (x, y))
+    return linked(a, b)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, class, bands) for each row; empty sets have no bands."""
+    """(doc_id, text_key, n_shingles, class, bands, slots) for each row; empty sets have no bands and no slots.
+
+    ``slots`` has a byte of each slot's value: agreement of bytes is agreement of slots, but for one pair in 256 that agrees by chance.
+    """
     rows = with_texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -180,12 +204,16 @@ def sketch(docs: DataFrame) -> DataFrame:
         cut = Shingler()
 
         def out(ids: pa.Array, keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-            full = [k for k, s in enumerate(sets) if len(s)]
+            drawn = signatures([s for s in sets if len(s)])
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[1:] = np.cumsum([BANDS * bool(len(s)) for s in sets])
-            flat = bands(signatures([sets[k] for k in full])).reshape(-1)
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))]
-            return pa.RecordBatch.from_arrays([ids, keys, *columns], ["doc_id", "text_key", "n_shingles", "class", "bands"])
+            flat = bands(drawn).reshape(-1)
+            low = iter((mixed(drawn) & U(0xFF)).astype(np.uint8))
+            columns = [
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())), pa.array([next(low).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays([ids, keys, *columns], ["doc_id", "text_key", "n_shingles", "class", "bands", "slots"])
 
         for batch in batches:
             first, sets, total = 0, [], 0
@@ -196,79 +224,69 @@ def sketch(docs: DataFrame) -> DataFrame:
                     yield out(batch.column(0)[first : k + 1], batch.column(1)[first : k + 1], sets)
                     first, sets, total = k + 1, [], 0
 
-    return rows.mapInArrow(frugal(draw), f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>")
+    return rows.mapInArrow(frugal(draw), f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>, slots binary")
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of classes; ``rows``: block, side, class, text.
+def compared(rows: DataFrame, match: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Links (a, b) of classes that ``match`` finds; ``rows``: block, side, class, payload.
 
     A block is two sides of a bounded number of classes, or one that is compared with itself. Rows
-    come sorted by block, and of the pairs that are similar enough those are returned that join
-    what earlier ones have not.
+    come sorted by block, and of the pairs that match those are returned that join what earlier
+    ones have not.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler()
         at, found = None, []
-        sides: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
+        sides: tuple[dict[int, bytes], dict[int, bytes]] = ({}, {})
 
         def close() -> None:
             x, y = sides if sides[1] else (sides[0], sides[0])
-            names, others = list(x), list(y)
-            groups = Groups()
-            for i, j in linked(list(x.values()), list(y.values())).tolist():
-                a, b = names[i], others[j]
-                if groups.find(a) != groups.find(b):
-                    groups.add([(a, b)])
-                    found.append((a, b))
+            if x and (x is not y or len(x) > 1):
+                names, others = list(x), list(y)
+                groups = Groups()
+                for i, j in match(list(x.values()), list(y.values())).tolist():
+                    a, b = names[i], others[j]
+                    if groups.find(a) != groups.find(b):
+                        groups.add([(a, b)])
+                        found.append((a, b))
             for s in sides:
                 s.clear()
 
         for batch in batches:
-            for block, side, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for block, side, own, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at:
                     close()
                     at = block
-                if own not in sides[side]:
-                    sides[side][own] = cut(text.as_py())
+                sides[side].setdefault(own, payload)
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
                 found.clear()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("block").sortWithinPartitions("block").select("block", "side", "class", "text").mapInArrow(frugal(check), "a long, b long")
+    return with_texts(rows).repartition("block").sortWithinPartitions("block").select("block", "side", "class", "payload").mapInArrow(frugal(check), "a long, b long")
 
 
 def parts(classes: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(classes / PART_CLASSES), F.ceil(shingles / PART_SHINGLES)).cast("long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (class, rep, text_key and others) with the text of a document that has the class; of repeated rows, all."""
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d")
-    side = small(settle(wanted, "wanted"))
-    own = F.col("d.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("d.text_key") == F.col("w.text_key"))
-    return d.join(side.alias("w"), own).select("w.*", "d.text")
-
-
 def star_blocks(members: DataFrame) -> DataFrame:
-    """``members`` with block and side: each part of a family on one side, its centre on the other. The centre is the smallest class, which names the family."""
-    sums = members.groupBy("family").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
-    own = members.join(sums, "family")
-    centre = F.col("class") == F.col("family")
+    """``members`` with block and side: each part of a group on one side, its centre on the other."""
+    centre = F.col("class") == F.col("centre")
     part = F.when(centre, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts"))))
-    return own.withColumn("part", F.explode(part)).select(*members.columns, F.concat_ws("/", "family", "part").alias("block"), centre.cast("int").alias("side"))
+    return members.withColumn("part", F.explode(part)).select("class", "payload", F.concat_ws("/", "group", "part").alias("block"), centre.cast("int").alias("side"))
 
 
 def all_blocks(members: DataFrame) -> DataFrame:
-    """``members`` (with ``near``: whether linked with the centre) with block and side, a row for each block.
+    """``members`` (with ``near``: whether matched with the centre) with block and side, a row for each block.
 
-    A family's near classes and its others are dealt to parts. Two parts are compared unless both are of near ones.
+    A group's near classes and its others are dealt to parts. Two parts are compared unless both are of near ones.
     """
     count = lambda near, x: F.coalesce(F.sum(F.when(F.col("near") == near, x)), F.lit(0))
     of = lambda near: parts(count(near, F.lit(1)), count(near, F.col("n")))
-    own = members.join(members.groupBy("family").agg(of(False).alias("far_parts"), of(True).alias("near_parts")), "family")
+    sums = settle(members.groupBy("group").agg(of(False).alias("far_parts"), of(True).alias("near_parts")), "block-sums")
+    own = members.drop("parts").join(small(sums), "group")
     own = own.withColumn("part", F.pmod(F.xxhash64("class"), F.when(F.col("near"), F.col("near_parts")).otherwise(F.col("far_parts"))))
     none = F.array().cast("array<struct<block:string,side:int>>")
 
@@ -276,31 +294,81 @@ def all_blocks(members: DataFrame) -> DataFrame:
         return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), block)).otherwise(none)
 
     def block(kind: str, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(F.concat_ws("/", F.col("family"), F.lit(kind), i, j).alias("block"), side.cast("int").alias("side"))
+        return F.struct(F.concat_ws("/", F.col("group"), F.lit(kind), i, j).alias("block"), side.cast("int").alias("side"))
 
     part = F.col("part")
     among = with_each("far_parts", lambda k: block("far", F.least(k, part), F.greatest(k, part), part > k))
     across = with_each("near_parts", lambda k: block("near", part, k, F.lit(0)))
     back = with_each("far_parts", lambda k: block("near", k, part, F.lit(1)))
     blocks = F.when(F.col("near"), back).otherwise(F.concat(among, across))
-    return own.withColumn("b", F.explode(blocks)).select(*members.columns, "b.block", "b.side")
+    return own.withColumn("b", F.explode(blocks)).select("class", "payload", "b.block", "b.side")
+
+
+def matched(members: DataFrame, match: Callable[[list[bytes], list[bytes]], np.ndarray], label: str) -> DataFrame:
+    """Links (a, b) that match within groups and leave nothing of a group apart that a match would join.
+
+    ``members``, settled before: group, class, n (shingles), weight, payload. The centre of a group is a class of the largest weight.
+    """
+    sums = members.groupBy("group").agg(F.count("*").alias("size"), parts(F.count("*"), F.sum("n")).alias("parts"), F.max_by("class", F.struct("weight", "class")).alias("centre"))
+    sums = settle(sums.where("size > 1"), f"{label}-sums")
+    own = members.join(small(sums), "group")
+    whole = own.where("parts = 1").select("class", "payload", F.col("group").cast("string").alias("block"), F.lit(0).alias("side"))
+    found = settle(compared(whole, match), f"{label}-links")
+    if sums.where("parts > 1").isEmpty():
+        return found
+    large = own.where("parts > 1")
+    star = settle(compared(star_blocks(large), match), f"{label}-star")
+    near = star.select(F.col("a").alias("near_class"), F.col("b").alias("near_centre")).distinct()
+    is_near = (F.col("class") == F.col("near_class")) & (F.col("centre") == F.col("near_centre"))
+    rest = large.join(small(settle(near, f"{label}-near")), is_near, "left").select("group", "class", "n", "payload", (F.col("near_class").isNotNull() | (F.col("class") == F.col("centre"))).alias("near"))
+    return found.union(star).union(settle(compared(all_blocks(settle(rest, f"{label}-rest")), match), f"{label}-all"))
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """(group, class, n, weight, payload) for each class in each bucket that it shares; the payload is its signature."""
+    banded = classes.select("class", F.explode("bands").alias("group"))
+    shared = settle(banded.groupBy("group").agg(F.count("*").alias("weight")).where("weight > 1"), "shared-bands")
+    rows = classes.select("class", F.lit(1).alias("n"), F.col("slots").alias("payload"), F.explode("bands").alias("group"))
+    if not is_small(shared):  # signatures go through the shuffle only for buckets that are shared
+        rows, _ = sifted(rows, "group", shared)
+    return settle(rows.join(small(shared), "group").select("group", "class", "n", "weight", "payload"), "meetings")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted``, settled before (group, class, weight, rep, text_key), with n and payload, the shingle set of a document of the class.
+
+    Each task makes a class's set once, however often its document is repeated.
+    """
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    if not is_small(wanted):
+        d, _ = sifted(d, "text_key", wanted)
+    own = F.col("d.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("d.text_key") == F.col("w.text_key"))
+    texts = d.alias("d").join(small(wanted).alias("w"), own).select("w.group", "w.class", "w.weight", "d.text")
+
+    def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = Shingler(), set()
+        for batch in batches:
+            new, sets = [], []
+            for k, own in enumerate(batch.column(1).to_pylist()):
+                if own not in seen:
+                    seen.add(own)
+                    new.append(k)
+                    sets.append(cut(batch.column(3)[k].as_py()))
+            kept = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "class", "weight", "n", "payload"])
+
+    return settle(with_texts(texts).mapInArrow(frugal(cut_sets), "group long, class long, weight long, n long, payload binary"), "sets")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that make the components whole. ``classes``: class, n, bands, rep, text_key."""
-    banded = classes.select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
-    meet = banded.join(shared.select("band", "first"), "band").where(F.col("class") != F.col("first"))
-    families = components(meet.select(F.col("class").alias("a"), F.col("first").alias("b")).distinct())
-    own = families.select(F.col("node").alias("class"), F.col("label").alias("family"))
-    members = settle(classes.select("class", "n", "rep", "text_key").join(small(own), "class"), "members")
-    large = settle(members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > LARGE).select("family"), "large-families")
-    if large.isEmpty():
-        return settle(compared(texts_of(docs, all_blocks(members.withColumn("near", F.lit(False))))), "links-found")
-    star = settle(compared(texts_of(docs, star_blocks(members.join(large, "family")))), "star-links")
-    near = star.select(F.col("a").alias("class"), F.lit(True).alias("is_near")).distinct()
-    rest = settle(members.join(near, "class", "left").withColumn("near", F.coalesce("is_near", F.lit(False))).drop("is_near"), "members-near")
-    return settle(compared(texts_of(docs, all_blocks(rest))), "links-found").union(star)
+    """Links (a, b) between classes that make the components whole. ``classes``, settled before: class, n, bands, slots, rep, text_key."""
+    met = meetings(classes)
+    families = components(matched(met, agreeing, "candidates"))
+    # A family's centre is the class that meets most others.
+    weights = met.groupBy("class").agg(F.sum("weight").alias("weight"))
+    own = settle(families.select(F.col("node").alias("class"), F.col("label").alias("group")).join(weights, "class"), "families")
+    wanted = settle(classes.select("class", "rep", "text_key").join(small(own), "class").select("group", "class", "weight", "rep", "text_key"), "wanted")
+    return matched(sets_of(docs, wanted), confirmed, "confirmed")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -308,7 +376,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     sketches = settle(sketch(docs), "sketches")
     filled = sketches.where(F.col("n_shingles") > 0)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
-    classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("class", "n", "bands", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
+    classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots")).select("class", "n", "bands", "slots", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
     labels = small(components(links(docs, classes)))
     labelled = classes.select("class", "rep", "text_key").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "c.text_key", "l.label")
     head = F.struct(F.col("rep").isNull().alias("void"), F.col("rep").alias("doc_id"), "text_key")
@@ -346,7 +414,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeated = gone.where("first")
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("text_key", F.xxhash64("doc.text")).alias("d")
     same = F.col("d.doc.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
-    kept = d.join(small(gone).alias("g"), same, "left_anti").select("doc.*")
+    if is_small(gone):
+        kept = d.join(F.broadcast(gone).alias("g"), same, "left_anti").select("doc.*")
+    else:  # only rows that may go are shuffled
+        held, free = sifted(d, "text_key", gone)
+        kept = held.alias("d").join(gone.alias("g"), same, "left_anti").select("doc.*").unionByName(free.select("doc.*"))
     if repeated.isEmpty():
         return kept
     # Partial aggregation leaves each task one row of a pair, however often it repeats.

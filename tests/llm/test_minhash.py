@@ -90,10 +90,10 @@ def test_groups_equal_brute_force(docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-@pytest.mark.parametrize("limits", [{}, {"PART_CLASSES": 4}, {"PART_SHINGLES": 300}, {"PART_CLASSES": 5, "LARGE": 3}, {"LARGE": 3, "BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"PART_CLASSES": 3}, {"PART_SHINGLES": 300}, {"PART_CLASSES": 5, "BROADCAST_ROWS": 0, "SIEVE_SLOTS": 64}])
 def test_chains_and_shared_passages_equal_brute_force(docs, monkeypatch, limits):
     for name, value in limits.items():
-        monkeypatch.setattr(common if name == "BROADCAST_ROWS" else minhash, name, value)
+        monkeypatch.setattr(minhash if hasattr(minhash, name) else common, name, value)
     r = random.Random(5)
     words = [f"c{k}" for k in range(100)]
     rows = []
@@ -118,14 +118,35 @@ def test_overlaps_equal_pairwise_counts(monkeypatch):
         assert (minhash.overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
 
 
-def test_bands_meet_at_the_limit():
-    r = random.Random(4)
-    missed = 0
-    for _ in range(300):
-        both, a, b = ([r.getrandbits(64) for _ in range(n)] for n in (30, 5, 5))
-        x, y = bands(signatures([np.unique(np.array(both + p, np.uint64)) for p in (a, b)]))
-        missed += not (x == y).any()
-    assert missed == 0
+@pytest.mark.parametrize("common_size", [30, 150, 600])
+def test_pairs_at_the_limit_are_candidates(common_size):
+    r = np.random.default_rng(4)
+    missed, turns = 0, 1000
+    for _ in range(turns):
+        both, a, b = (r.integers(0, 2**64, n, np.uint64) for n in (common_size, common_size // 6, common_size // 6))
+        drawn = signatures([np.unique(np.concatenate([both, p])) for p in (a, b)])
+        x, y = bands(drawn)
+        low = [row.tobytes() for row in (minhash.mixed(drawn) & np.uint64(0xFF)).astype(np.uint8)]
+        missed += not ((x == y).any() and len(minhash.agreeing(low[:1], low[1:])))
+    assert missed <= turns / 1000
+
+
+def test_classes_that_share_a_passage_are_no_family(docs, monkeypatch):
+    r = random.Random(8)
+    texts = []
+    for group, size in (("a", 40), ("b", 60)):  # of 100 shingles: similarities of 0.25 and 0.43
+        passage = [f"{group}{k}" for k in range(size + 4)]
+        texts += [" ".join(passage + [f"{r.getrandbits(48):x}" for _ in range(100 - size)]) for _ in range(3000)]
+    read, asked = [], []
+    sets_of, matched = minhash.sets_of, minhash.matched
+    monkeypatch.setattr(minhash, "sets_of", lambda *a: read.append(sets_of(*a)) or read[-1])
+    monkeypatch.setattr(minhash, "matched", lambda members, *a: asked.append(members) or matched(members, *a))
+    found = near_duplicates(docs(*texts)).collect()
+    assert all(x.kept and x.n_shingles == 100 for x in found) and len(found) == 6000
+    # Few sets are read, once each, and all pairs within families are few against the 9 million within the two groups.
+    assert read[0].count() == read[0].distinct().count() < 2000
+    families = [x["count"] for x in asked[1].groupBy("group").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in families) < 20_000
 
 
 def test_hard_rows(docs):
