@@ -3,11 +3,17 @@
 Targets: the whole is shared by weight, no source above its cap of ``max_epochs`` times its size,
 the excess shared again by weight among the others until none is above. With sources ordered by
 cap over weight, those that end at their cap come first, so one pass over the sources finds the
-water level. Sampling: a source's target is whole repetitions of all its documents and a seeded
-fraction of them once more. The fraction is the documents with the smallest seeded keys; where
-it ends is found from sizes per key bucket, and then within the one bucket per source in which it
-falls, so no source's documents ever meet in one task. What is then missing is filled in rounds
-from the documents behind it that fit, until none does; a round at least halves what is missing.
+water level.
+
+Sampling: a source's target is whole repetitions of all its documents and a seeded fraction of them
+once more. The fraction is drawn from each size tier by itself, so documents of all sizes are in it:
+tiers, the largest first, get their part of the words as quotas, and what a tier cannot hold
+goes on to the next. Of a tier, the documents with the smallest seeded keys are taken that its
+quota holds; where they end is found from sizes per key bucket, and then within the one bucket
+in which it falls, so no source's documents ever meet in one task. What is then missing, less than
+a few documents, is filled from the next documents of all tiers, the largest first.
+Rows that agree in id, text and source have one key; if only some of them are taken, they are
+numbered, part by part of the table.
 """
 
 from __future__ import annotations
@@ -23,16 +29,28 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hexadecimal digits of the key that make a bucket.
 BUCKET_DIGITS = 3
+#: So many rows behind the end of each tier's quota are tried for what is missing in the end.
+FILLS = 64
 
 
-def key_of(doc_id: Column, seed: str) -> Column:
+def same_source() -> Column:
+    return F.col("a.source").eqNullSafe(F.col("b.source"))
+
+
+def key_of(doc_id: Column, text: Column, seed: str) -> Column:
     """The seeded sampling key: hexadecimal, so its order is the same in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
+
+
+def tier_of(text: Column) -> Column:
+    """Number of binary digits of the text's bytes."""
+    return F.length(F.bin(F.octet_length(F.coalesce(text, F.lit("")))))
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key, bucket): a document's size is its number of words, 0 for null text."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
+    """(doc_id, source, size, tier, key, bucket): a document's size is its number of words, 0 for null text."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), tier_of(F.col("text")).alias("tier"), key_of(F.col("doc_id"), F.col("text"), seed).alias("key"))
     return rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
 
@@ -55,117 +73,117 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
     return tried.select("source", "source_size", F.coalesce(F.least("cap", first["level"] * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def fills(rows: DataFrame, end: DataFrame) -> DataFrame:
-    """(source, key): what fills the words ``missing`` behind ``last_key``, from ``sized`` rows and ``end`` (source, last_key, missing).
+def quotas(tiers: DataFrame) -> DataFrame:
+    """(source, tier, total, quota): the words that each tier gives to the fraction.
+
+    ``tiers``: source, tier, total (words), least (its smallest document), source_size, need. At most some thirty rows a source meet.
+    """
+    # Words given up to a tier are the part of ``need`` that its source's words up to it are.
+    want = "least(b.need, cast(floor(cast(b.need as double) * (s.above + x.total) / b.source_size + 0.5) as bigint)) - s.given"
+    quota = f"if({want} < x.least, 0L, least({want}, x.total))"
+    step = f"named_struct('above', s.above + x.total, 'given', s.given + {quota}, 'made', concat(s.made, array(named_struct('tier', x.tier, 'total', x.total, 'quota', {quota}))))"
+    start = "named_struct('above', 0L, 'given', 0L, 'made', cast(array() as array<struct<tier:int,total:bigint,quota:bigint>>))"
+    by_source = tiers.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("tier", "total", "least")), asc=False).alias("tiers"))
+    made = by_source.alias("b").select("b.source", F.expr(f"inline(aggregate(b.tiers, {start}, (s, x) -> {step}, s -> s.made))"))
+    return made
+
+
+def ends(rows: DataFrame, by_bucket: DataFrame, quota: DataFrame) -> DataFrame:
+    """(source, tier, quota, cut_bucket, last_bucket, cut_key, copies, passed): where each tier's quota ends.
 
-    In a round a source takes, of the keys that fit, the smallest up to the first that does not, or
-    the single largest, whichever leaves less: one of them is over half of what is missing, so rounds
-    are few. They go on until nothing fits. In each round the smallest key too large is noted too:
-    where one comes nearer to the target than all rounds do, rounds end there, with it.
+    Keys before ``cut_key`` are taken, and ``copies`` rows of that key; ``passed`` words in all. Null
+    if the whole tier is taken. Up to ``last_bucket`` there are FILLS rows behind it, if there are as many.
     """
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    wanted = end.where(F.col("missing") > 0)
-    behind = rows.alias("a").join(small(wanted).alias("b"), same).where(F.col("a.key") > F.col("b.last_key"))
-    units = behind.groupBy("a.source", "a.bucket", "a.key", "b.missing").agg(F.sum("a.size").alias("size"))
-    useful = (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))
-    pool = settle(units.where(useful), "mix-pool")
-    steps, taken = [], []
-    while not pool.isEmpty():
-        fits = pool.where(F.col("size") <= F.col("missing"))
-        singles = pool.groupBy("source", "missing").agg(
-            F.max(F.when(F.col("size") <= F.col("missing"), F.col("size"))).alias("most"),
-            F.min(F.when(F.col("size") > F.col("missing"), F.struct("size", "key"))).alias("above"),
-            F.sum(F.when(F.col("size") <= F.col("missing"), F.col("size"))).alias("fitting"),
-        )
-        largest = fits.alias("a").join(singles.alias("b"), same).where(F.col("a.size") == F.col("b.most")).groupBy("a.source").agg(F.min("a.key").alias("key"))
-        by_bucket = fits.groupBy("source", "bucket", "missing").agg(F.sum("size").alias("bucket_size"))
-        upto = by_bucket.withColumn("upto", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        ends = upto.where((F.col("upto") > F.col("missing")) & (F.col("upto") - F.col("bucket_size") <= F.col("missing"))).withColumn("before", F.col("upto") - F.col("bucket_size"))
-        inside = fits.alias("a").join(ends.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket"))).select("a.source", "a.key", "a.size", "a.missing", "b.before")
-        passed = inside.withColumn("passed", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        stops = passed.where(F.col("passed") > F.col("missing")).groupBy("source").agg(F.min(F.struct("key", (F.col("passed") - F.col("size")).alias("sum"))).alias("stop"))
-        tried = singles.alias("a").join(largest.alias("b"), same, "left").select("a.*", F.col("b.key").alias("largest"))
-        tried = tried.alias("a").join(stops.alias("b"), same, "left").select("a.*", "b.stop")
-        first = F.coalesce("stop.sum", "fitting", F.lit(0))
-        alone = F.coalesce("most", F.lit(0)) > first
-        step = tried.select("source", "missing", "above", "largest", F.col("stop.key").alias("stop"), alone.alias("alone"), (F.col("missing") - F.greatest(first, F.coalesce("most", F.lit(0)))).alias("left"))
-        step = settle(step.withColumn("round", F.lit(len(steps))), "mix-step")
-        steps.append(step)
-        one = F.when(F.col("b.alone"), F.col("a.key") == F.col("b.largest")).otherwise(F.coalesce(F.col("a.key") < F.col("b.stop"), F.lit(True)))
-        dealt = pool.alias("a").join(small(step).alias("b"), same).select("a.source", "a.bucket", "a.key", "a.size", "b.left", "b.round", ((F.col("a.size") <= F.col("a.missing")) & one).alias("one"))
-        taken.append(dealt.where("one").select("source", "key", "round"))
-        # A source in which nothing fits any more has had its last round.
-        rest = dealt.where(~F.col("one")).select("source", "bucket", "key", "size", F.col("left").alias("missing"))
-        going = small(step.where(F.col("left") < F.col("missing")).select("source"))
-        pool = settle(rest.alias("a").join(going.alias("b"), same, "left_semi").where(useful), "mix-pool")
-    if not steps:
-        return pool.select("source", "key")
-    rounds, every = steps[0], taken[0]
-    for step, more in zip(steps[1:], taken[1:], strict=True):
-        rounds, every = rounds.union(step), every.union(more)
-    # Where rounds end: before the one whose key too large is nearest to the target, if it is nearer than what all rounds leave.
-    over = F.min(F.when(F.col("above").isNotNull(), F.struct((F.col("above.size") - F.col("missing")).alias("off"), F.col("round").alias("round"), F.col("above.key").alias("key"))))
-    final = settle(rounds.groupBy("source").agg(F.min("left").alias("left"), over.alias("over")), "mix-final")
-    ends_over = F.coalesce(F.col("over.off") < F.col("left"), F.lit(False))
-    until = small(final.select("source", F.when(ends_over, F.col("over.round")).alias("until")))
-    kept = every.alias("a").join(until.alias("b"), same).where(F.col("b.until").isNull() | (F.col("a.round") < F.col("b.until"))).select("a.source", "a.key")
-    return settle(kept.union(final.where(ends_over).select("source", "over.key")), "mix-fills")
-
-
-def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, fill: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """From ``sized`` rows, per source: source_size, target, whole repetitions, and where the fraction ends; and its ``fills``."""
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    running = (Window.unboundedPreceding, Window.currentRow)
-    by_bucket = settle(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    tier = same_source() & (F.col("a.tier") == F.col("b.tier"))
+    order = Window.partitionBy("source", "tier").orderBy("bucket")
+    upto = by_bucket.withColumn("upto", F.sum("bucket_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n_upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = upto.alias("a").join(small(quota).alias("b"), tier).where("b.quota < b.total").select("a.*", "b.quota", (F.col("a.upto") - F.col("a.bucket_size")).alias("before"))
+    at = F.min(F.when(F.col("upto") > F.col("quota"), F.struct("bucket", "before", "n_upto")))
+    cut = held.groupBy("source", "tier", "quota").agg(at.alias("cut"))
+    last = held.alias("a").join(cut.alias("b"), tier).where((F.col("a.bucket") >= F.col("b.cut.bucket")) & (F.col("a.n_upto") - F.col("a.n") < F.col("b.cut.n_upto") + FILLS))
+    cuts = settle(last.groupBy("b.source", "b.tier", "b.quota", "b.cut").agg(F.max("a.bucket").alias("last_bucket")).select("source", "tier", "quota", "cut", "last_bucket"), "mix-cuts")
+    inside = rows.alias("a").join(small(cuts).alias("b"), tier & (F.col("a.bucket") == F.col("b.cut.bucket"))).groupBy("a.source", "a.tier", "a.key", "b.quota", "b.cut").agg(F.count("*").alias("n"), F.max("a.size").alias("size"))
+    words = F.col("n") * F.col("size")
+    by_key = Window.partitionBy("source", "tier").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = inside.withColumn("passed", F.col("cut.before") + F.sum(words).over(by_key) - words)
+    stop = passed.where((F.col("passed") <= F.col("quota")) & (F.col("passed") + words > F.col("quota"))).withColumn("copies", F.expr("(quota - passed) div size"))
+    stop = stop.select("source", "tier", F.col("key").alias("cut_key"), "copies", (F.col("passed") + F.col("copies") * F.col("size")).alias("passed"))
+    found = cuts.alias("a").join(stop.alias("b"), tier).select("a.source", "a.tier", "a.quota", F.col("a.cut.bucket").alias("cut_bucket"), "a.last_bucket", "b.cut_key", "b.copies", "b.passed")
+    every = quota.where("quota = total").select("source", "tier", "quota", *(F.lit(None).cast("string").alias(x) for x in ("cut_bucket", "last_bucket", "cut_key")), F.lit(None).cast("long").alias("copies"), F.col("quota").alias("passed"))
+    return settle(found.unionByName(every), "mix-ends")
+
+
+def fills(rows: DataFrame, end: DataFrame, shares: DataFrame) -> DataFrame:
+    """(source, key, copies, n): the keys of which ``copies`` of the ``n`` rows are taken besides all before the cuts."""
+    tier = same_source() & (F.col("a.tier") == F.col("b.tier"))
+    given = end.groupBy("source").agg(F.sum("passed").alias("passed"))
+    lacking = settle(shares.alias("a").join(given.alias("b"), same_source()).select("a.source", (F.col("a.need") - F.col("b.passed")).alias("lacking")), "mix-lacking")
+    near = rows.alias("a").join(small(end).alias("b"), tier & F.col("a.bucket").between(F.col("b.cut_bucket"), F.col("b.last_bucket")) & (F.col("a.key") >= F.col("b.cut_key")))
+    units = near.groupBy("a.source", "a.tier", "a.key", "b.cut_key", "b.copies").agg(F.count("*").alias("n"), F.max("a.size").alias("size"))
+    units = units.withColumn("copies", F.when(F.col("key") == F.col("cut_key"), F.col("copies")).otherwise(F.lit(0)))
+    rest = F.col("n") - F.col("copies")
+    before = F.coalesce(F.sum(rest).over(Window.partitionBy("source", "tier").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    units = settle(units.withColumn("before", before).where(F.col("before") < FILLS).select("source", "tier", "key", "n", "copies", "size"), "mix-units")
+    tried = units.alias("a").join(small(lacking).alias("b"), same_source()).where(F.col("a.size") <= F.col("b.lacking")).select("a.source", "b.lacking", F.struct((-F.col("a.tier")).alias("order"), "a.key", (F.col("a.n") - F.col("a.copies")).alias("n"), "a.size").alias("unit"))
+    by_source = tried.groupBy("source").agg(F.first("lacking").alias("lacking"), F.sort_array(F.collect_list("unit")).alias("units"))  # at most FILLS a tier
+    take = "least(x.n, s.lacking div x.size)"
+    step = f"named_struct('lacking', s.lacking - {take} * x.size, 'made', if(s.lacking < x.size, s.made, concat(s.made, array(named_struct('key', x.key, 'more', {take})))))"
+    start = "named_struct('lacking', lacking, 'made', cast(array() as array<struct<key:string,more:bigint>>))"
+    picked = by_source.select("source", F.expr(f"inline(aggregate(units, {start}, (s, x) -> {step}, s -> s.made))"))
+    both = units.alias("a").join(picked.alias("b"), same_source() & (F.col("a.key") == F.col("b.key")), "left").select("a.source", "a.key", (F.col("a.copies") + F.coalesce("b.more", F.lit(0))).alias("copies"), "a.n")
+    return settle(both.where("copies > 0"), "mix-fills")
+
+
+def drawn(keyed: DataFrame, rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc, source_size, target, repeats) for each row of ``keyed`` (doc, source, tier, key); ``rows``: the ``sized`` rows, settled before."""
+    by_bucket = settle(rows.groupBy("source", "tier", "bucket").agg(F.sum("size").alias("bucket_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")), "mix-buckets")
     shares = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    shares = shares.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    # The bucket in which a source's fraction ends: at most 16 ** BUCKET_DIGITS rows a source.
-    upto = by_bucket.withColumn("upto", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*running)))
-    within = (F.col("a.upto") - F.col("a.bucket_size") < F.col("b.need")) & (F.col("b.need") <= F.col("a.upto"))
-    ends = upto.alias("a").join(shares.alias("b"), same).where(within).select("a.source", "a.bucket", (F.col("b.need") - F.col("a.upto") + F.col("a.bucket_size")).alias("left"))
-    # Within it, the last key that is still whole, and what is then missing in whole words.
-    inside = rows.alias("a").join(ends.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket"))).groupBy("a.source", "a.key", "b.left").agg(F.sum("a.size").alias("key_size"))
-    passed = inside.withColumn("passed", F.sum("key_size").over(Window.partitionBy("source").orderBy("key").rowsBetween(*running)))
-    last = passed.where(F.col("passed") <= F.col("left")).groupBy("source").agg(F.max("key").alias("last_key"), F.max("passed").alias("passed"))
-    missing = F.floor(F.round(F.col("a.left") - F.coalesce("b.passed", F.lit(0)), 6))
-    end = settle(ends.alias("a").join(last.alias("b"), same, "left").select("a.source", F.coalesce("b.last_key", "a.bucket").alias("last_key"), missing.alias("missing")), "mix-ends")
-    if fill:
-        found = shares.alias("a").join(end.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", F.lit(None).cast("string").alias("extra_key"))
-        return found, fills(rows, end)
-    # Of the documents behind it, the one whose size is nearest to that.
-    off = F.abs(F.col("a.size") - F.col("b.missing"))
-    behind = rows.alias("a").join(small(end).alias("b"), same).where((F.col("a.key") > F.col("b.last_key")) & (off < F.col("b.missing")))
-    extra = behind.groupBy("a.source").agg(F.min(F.struct(off.alias("off"), F.col("a.key").alias("key")))["key"].alias("extra_key"))
-    found = end.alias("a").join(extra.alias("b"), same, "left").select("a.source", "a.last_key", "b.extra_key")
-    return shares.alias("a").join(found.alias("b"), same, "left").select("a.source", "a.source_size", "a.target", "a.whole", "b.last_key", "b.extra_key"), None
-
-
-def mix(df: DataFrame, rows: DataFrame | None = None, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, fill: bool = True) -> DataFrame:
+    need = F.floor(F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6)).cast("long")
+    shares = settle(shares.withColumn("whole", whole).withColumn("need", need), "mix-shares")
+    filled, rows = by_bucket.where("n > 0"), rows.where("size > 0")
+    tiers = filled.groupBy("source", "tier").agg(F.sum("bucket_size").alias("total"), F.min("least").alias("least"))
+    quota = settle(quotas(tiers.alias("a").join(small(shares).alias("b"), same_source()).select("a.*", "b.source_size", "b.need")), "mix-quotas")
+    end = ends(rows, filled, quota)
+    picks = fills(rows, end, shares)
+    joined = keyed.alias("a").join(small(shares).alias("b"), same_source(), "left").select("a.*", "b.source_size", "b.target", "b.whole")
+    joined = joined.alias("a").join(small(end).alias("b"), same_source() & (F.col("a.tier") == F.col("b.tier")), "left").select("a.*", F.coalesce(F.col("b.passed").isNotNull() & (F.col("b.cut_key").isNull() | (F.col("a.key") < F.col("b.cut_key"))), F.lit(False)).alias("before"))
+    joined = joined.alias("a").join(small(picks).alias("b"), same_source() & (F.col("a.key") == F.col("b.key")), "left").select("a.*", "b.copies", "b.n")
+
+    def out(df: DataFrame, once: Column) -> DataFrame:
+        repeats = F.when(F.col("source_size") > 0, F.col("whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
+        return df.select("doc", "source_size", "target", repeats.alias("repeats"))
+
+    of_some = F.coalesce(F.col("copies") < F.col("n"), F.lit(False))
+    sure = out(joined.where(~of_some), F.col("before") | F.col("copies").isNotNull())
+    if picks.where("copies < n").isEmpty():
+        return sure
+    # Of rows with one key, so many are taken: they are numbered within each part of a table that fixes their places.
+    tied = settle(joined.where(of_some).withColumn("place", F.monotonically_increasing_id()), "mix-tied")
+    tied = tied.withColumn("part", F.shiftright("place", 33))
+    counts = tied.groupBy("source", "key", "part").agg(F.count("*").alias("m"))
+    firsts = settle(counts.withColumn("first", F.coalesce(F.sum("m").over(Window.partitionBy("source", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "mix-firsts")
+    nth = F.row_number().over(Window.partitionBy("source", "key", "part").orderBy("place"))
+    numbered = tied.withColumn("nth", nth).alias("a").join(small(firsts).alias("b"), same_source() & (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))).select("a.*", "b.first")
+    return sure.unionByName(out(numbered, F.col("first") + F.col("nth") <= F.col("copies")))
+
+
+def mix(df: DataFrame, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(doc, source_size, target, repeats): each row of ``df`` as the struct ``doc``, and how often the mix takes it.
 
-    Of a source, every document is taken as often as its target holds the source whole, and those
-    with the smallest keys once more, as long as they fit, and then those behind them that fill what
-    is missing (``fills``); without ``fill``, as op9's SQL has it, the one document that fills it best. Reruns agree, as the key depends on seed and doc_id alone; documents with equal keys (repeated ids) go together.
-    A null source is a source, the last; a null text has no words; a source without words has
+    Of a source, every document is taken as often as its target holds the source whole, and a
+    fraction of them once more, never beyond the target. Reruns agree, as keys depend on
+    seed, doc_id and text alone; of rows that agree in id, text and source as many are
+    taken as fit, any of them. A null source is a source, the last; a null text has no words; a source without words has
     target 0 and is not taken. A null doc_id has a key like others. Other columns stay in ``doc``,
-    whatever their names. An empty table gives an empty one. ``rows``: ``sized(df)``, if at hand.
+    whatever their names. An empty table gives an empty one.
     """
-    found, filled = cuts(sized(df, seed) if rows is None else rows, weights, max_epochs, fill)
-    side = small(settle(found, "mix-cuts"))
-    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.col("source"), key_of(F.col("doc_id"), seed).alias("key"))
-    once = F.coalesce(F.col("a.key") <= F.col("b.last_key"), F.lit(False)) | F.coalesce(F.col("a.key") == F.col("b.extra_key"), F.lit(False))
-    repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
-    if filled is not None:
-        more = small(filled.withColumn("more", F.lit(True)))
-        keyed = keyed.alias("a").join(more.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.key") == F.col("b.key")), "left").select("a.*", "b.more")
-        once = once | F.coalesce(F.col("a.more"), F.lit(False))
-        repeats = F.when(F.col("b.source_size") > 0, F.col("b.whole") + once.cast("long")).otherwise(F.lit(0)).cast("long")
-    joined = keyed.alias("a").join(side.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    return joined.select("a.doc", "b.source_size", "b.target", repeats.alias("repeats"))
+    rows = settle(sized(df, seed), "mix-rows")
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), "source", tier_of(F.col("text")).alias("tier"), key_of(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    return drawn(keyed, rows, weights, max_epochs)
 
 
 def mixed(df: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``df``, each as often as ``mix`` takes it."""
-    taken = mix(df, settle(sized(df), "mix-rows")).where(F.col("repeats") > 0)
+    """The mix itself: the rows of ``df``, each as often as ``mix`` takes it; nulls, repeated rows, empty tables and other columns as there."""
+    taken = mix(df).where(F.col("repeats") > 0)
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("doc.*")

@@ -71,7 +71,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(mixing.sized(table(spark, sf_dir, "documents")), "mix-rows")
-    return mixing.mix(rows, rows, fill=False).select("doc.doc_id", "doc.size", "source_size", "target", (F.col("doc.size") * F.col("repeats")).alias("taken"))
+    drawn = mixing.drawn(rows.select(F.struct("doc_id", "size").alias("doc"), "source", "tier", "key"), rows)
+    return drawn.select("doc.doc_id", "doc.size", "source_size", "target", (F.col("doc.size") * F.col("repeats")).alias("taken"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

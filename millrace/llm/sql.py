@@ -56,7 +56,8 @@ FROM judged
 
 OP9 = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(bin(strlen(coalesce(text, '')))) AS tier,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY source
 ), tried AS (
@@ -67,17 +68,36 @@ WITH RECURSIVE sized AS (
 ), targets AS (
   SELECT source, source_size, coalesce(least(cap, weight * (SELECT arg_min(level, place) FROM tried WHERE cap > level * weight)), cap) AS target FROM tried
 ), shares AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
-), running AS (
-  SELECT d.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS passed
-  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, floor(round(target - whole * source_size, 6))::BIGINT AS need FROM targets
+), units AS (
+  SELECT source, tier, key, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL
+), tiers AS (
+  SELECT source, tier, sum(n * size)::BIGINT AS total, min(size) AS least_size, row_number() OVER (PARTITION BY source ORDER BY tier DESC) AS t FROM units GROUP BY source, tier
+), given AS (
+  SELECT source, 0::BIGINT AS t, NULL::BIGINT AS tier, 0::BIGINT AS above, 0::BIGINT AS quota, 0::BIGINT AS upto FROM shares
+  UNION ALL
+  SELECT source, t, tier, above, quota, upto + quota FROM (
+    SELECT g.source, x.t, x.tier, g.above + x.total AS above, g.upto,
+      least(s.need, floor(s.need::DOUBLE * (g.above + x.total) / s.source_size + 0.5)::BIGINT) - g.upto AS wanted, CASE WHEN wanted < x.least_size THEN 0 ELSE least(wanted, x.total) END AS quota
+    FROM given g JOIN tiers x ON g.source IS NOT DISTINCT FROM x.source AND x.t = g.t + 1 JOIN shares s ON s.source IS NOT DISTINCT FROM g.source)
+), passed AS (
+  SELECT u.*, g.quota, sum(n * size) OVER (PARTITION BY u.source, u.tier ORDER BY key) - n * size AS before FROM units u JOIN given g ON u.source IS NOT DISTINCT FROM g.source AND u.tier = g.tier
+), first AS (
+  SELECT *, CASE WHEN before > quota THEN 0 ELSE least(n, (quota - before) // size) END::BIGINT AS copies FROM passed
 ), lacking AS (
-  SELECT *, floor(round(need - coalesce(max(passed) FILTER (WHERE passed <= need) OVER (PARTITION BY source), 0), 6))::BIGINT AS missing FROM running
-), fills AS (
-  SELECT source, arg_min(key, (abs(size - missing), key)) AS extra_key FROM lacking WHERE passed > need AND need > 0 AND abs(size - missing) < missing GROUP BY source
-)
-SELECT doc_id, size, source_size, target,
-  (size * CASE WHEN source_size > 0 THEN whole + CASE WHEN need > 0 AND passed <= need OR key = extra_key THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS taken
-FROM lacking l LEFT JOIN fills f ON l.source IS NOT DISTINCT FROM f.source
+  SELECT *, (need - sum(copies * size) OVER (PARTITION BY f.source))::BIGINT AS lacking,
+    coalesce(sum(n - copies) OVER (PARTITION BY f.source, tier ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skipped
+  FROM first f JOIN (SELECT source AS name, need FROM shares) s ON f.source IS NOT DISTINCT FROM s.name
+), next AS (
+  SELECT source, key, size, n - copies AS rest, lacking, row_number() OVER (PARTITION BY source ORDER BY tier DESC, key) AS turn FROM lacking WHERE skipped < 64 AND copies < n AND size <= lacking
+), filled AS (
+  SELECT source, 0::BIGINT AS turn, NULL::VARCHAR AS key, 0::BIGINT AS more, max(lacking)::BIGINT AS left_over FROM next GROUP BY source
+  UNION ALL
+  SELECT f.source, x.turn, x.key, least(x.rest, f.left_over // x.size)::BIGINT, (f.left_over - least(x.rest, f.left_over // x.size) * x.size)::BIGINT
+  FROM filled f JOIN next x ON f.source IS NOT DISTINCT FROM x.source AND x.turn = f.turn + 1
+), chosen AS (
+  SELECT l.source, l.key, l.copies + coalesce(f.more, 0) AS copies FROM first l LEFT JOIN filled f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY source, key) AS nth FROM sized)
+SELECT d.doc_id, d.size, s.source_size, s.target, (d.size * CASE WHEN s.source_size > 0 THEN s.whole + (d.nth <= coalesce(c.copies, 0))::BIGINT ELSE 0 END)::BIGINT AS taken
+FROM numbered d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM d.source AND c.key = d.key
 """

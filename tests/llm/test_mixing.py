@@ -52,6 +52,41 @@ def test_sources_come_near_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
+def taken_of(found):
+    """Per source: words taken, target, size of its smallest document."""
+    out = defaultdict(lambda: [0, 0.0, 10**9])
+    for x in found:
+        n = len((x.doc.text or "").split())
+        own = out[x.doc.source]
+        own[0], own[1], own[2] = own[0] + n * x.repeats, x.target, min(own[2], n or 10**9)
+    return out
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "some", "copies"])
+def test_repeated_and_null_ids(docs, ids, sf_dir):
+    texts = ["w x y z" if ids == "copies" else f"w x y {k}" for k in range(1000)]
+    id_of = {"null": lambda k: None, "one": lambda k: 7, "some": lambda k: k % 10, "copies": lambda k: None}[ids]
+    rows = [(id_of(k), t) for k, t in enumerate(texts)]
+    # 4,000 words beside 2,000 of a source with a weight of 1 to 1.4: 3,500 of the 6,000.
+    df = docs(*rows, (5000, "v " * 2000)).withColumn("source", F.when(F.col("doc_id") == 5000, "b").otherwise("a"))
+    found = mix(df.repartition(5), weights=(7.0, 5.0)).collect()
+    assert len(found) == 1001 and {x.repeats for x in found if x.doc.source == "a"} == {0, 1}
+    taken, target, _ = taken_of(found)["a"]
+    assert (taken, target) == (3500, 3500.0)
+
+
+def test_the_fraction_has_documents_of_all_sizes(docs):
+    sizes = [1 + k % 7 for k in range(900)] + [200 + k % 50 for k in range(90)] + [5000] * 10
+    df = docs(*[f"{k} " * n for k, n in enumerate(sizes)], (9000, "v " * 60_000)).withColumn("source", F.when(F.col("doc_id") == 9000, "b").otherwise("a"))
+    found = mix(df, weights=(1.0, 2.0)).collect()
+    taken, target, _ = taken_of(found)["a"]
+    assert 0 <= target - taken < 2
+    part = target / sum(sizes)
+    for low, high in ((1, 8), (200, 250), (5000, 5001)):
+        own = [x.repeats for x in found if x.doc.source == "a" and low <= len(x.doc.text.split()) < high]
+        assert abs(sum(own) / len(own) - part) < 0.15
+
+
 @pytest.mark.parametrize("seed", ["mix-1", "mix-2"])
 def test_a_huge_document_keeps_no_source_from_its_target(docs, seed):
     rows = [(k, "w " * 100, "s0") for k in range(1000)] + [(1000, "w " * 100_000, "s0"), (1001, "w " * 200_000, "s1")]
@@ -88,5 +123,7 @@ def test_many_sources_are_joined_by_shuffle(docs, monkeypatch):
 
 def test_query_equals_its_sql(spark, sf_dir):
     assert_same(queries.op9_mixing(spark, sf_dir), sql.OP9, sf_dir)
+    for x in queries.op9_mixing(spark, "/root/testdata/sf0.01").collect():
+        assert x.taken <= 3 * x.size
     for nodes in ("Python", "Arrow", "Pandas"):
         assert nodes not in queries.op9_mixing(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
