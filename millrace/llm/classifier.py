@@ -156,25 +156,31 @@ def fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on the labelled rows outside the held-out fold, at most ``most`` of them.
+    """Fit on the labelled ids outside the held-out fold, at most ``most`` of them, one row an id.
 
-    ``labels``: doc_id, quality. Rows with a null id or quality, or without a document, teach nothing. The features are made
-    by the executors; the driver gets those of the bounded sample alone.
+    ``labels``: doc_id, quality. Labels with a null id or quality, or without a document, teach
+    nothing. Of several labels of an id the smallest counts, of several documents the one
+    whose text has the smallest hash. The features are made by the executors; the driver gets those of the bounded
+    sample alone. Empty tables give a model whose scores are all one half.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != HELD_OUT))
-    sample = usable.select("doc_id", (F.col("quality") > 0).cast("int").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality").limit(most)
+    by_id = usable.groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("quality"))
+    sample = by_id.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     rows = with_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", F.xxhash64("text").alias("text_key"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser()
         for batch in batches:
             made = [make(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("quality"), pa.array([a.astype(np.int32) for a, _, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v, _ in made], pa.list_(pa.float32())), pa.array([s for _, _, s in made], pa.list_(pa.float64()))],
-                ["doc_id", "quality", "places", "values", "stats"],
+                [*batch.columns[:3], pa.array([a.astype(np.int32) for a, _, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v, _ in made], pa.list_(pa.float32())), pa.array([s for _, _, s in made], pa.list_(pa.float64()))],
+                ["doc_id", "quality", "text_key", "places", "values", "stats"],
             )
 
-    found = rows.mapInArrow(frugal(features), "doc_id string, quality int, places array<int>, values array<float>, stats array<double>").toArrow()
+    drawn = rows.mapInArrow(frugal(features), "doc_id string, quality int, text_key long, places array<int>, values array<float>, stats array<double>")
+    one = drawn.groupBy("doc_id").agg(F.min(F.struct("text_key", "quality", "places", "values", "stats")).alias("row"))
+    found = one.select("doc_id", "row.quality", "row.places", "row.values", "row.stats").toArrow()
     # Tasks end in any order; the fit takes rows in one.
     keys = sorted((zlib.crc32(str(i).encode()), str(i), q, tuple(s), k) for k, (i, q, s) in enumerate(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), found["stats"].to_pylist(), strict=True)))
     order = [k[-1] for k in keys]

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from millrace.llm import classifier, queries
@@ -42,8 +44,6 @@ def test_held_out_quality(spark):
 
 
 def test_held_out_labels_teach_nothing(spark, docs):
-    import zlib
-
     ids = [k for k in range(400)]
     texts = [(k, PROSE + f" {k}" if k % 2 else "### $$$ %%%") for k in ids]
     held = [k for k in ids if zlib.crc32(str(k).encode()) % 5 == 0]
@@ -58,6 +58,20 @@ def test_sample_is_bounded(spark, docs):
     assert train(docs(*[f"a{k}" for k in range(100)]), labels, most=0).score([Featuriser()("x")])[0] == 0.5
 
 
+def test_repeated_rows_do_not_lift_the_bound(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda texts, labels: seen.append(labels.tolist()) or fit(texts, labels))
+    ids = [1] * 500 + list(range(2, 40))
+    labels = spark.createDataFrame([(k, k % 2) for k in ids] + [(1, 0)], "doc_id long, quality int")
+    df = docs(*((1, f"text {k % 3}") for k in range(2000)), *((k, f"text {k}") for k in range(2, 40)))
+    for most in (10, 100):
+        train(df, labels, most=most)
+    usable = [k for k in range(1, 40) if zlib.crc32(str(k).encode()) % 5]
+    assert [len(x) for x in seen] == [10, len(usable)]
+    models = [train(x, labels, most=100) for x in (df.repartition(3), df.repartition(7))]
+    assert (models[0].weights == models[1].weights).all()
+
+
 def test_hard_rows(spark, docs):
     rows = [(None, PROSE), (1, PROSE), (1, PROSE), *((100 + k, x) for k, x in enumerate(HARD))]
     df = docs(*rows, clashing=True)
