@@ -35,7 +35,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_RUN = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:[A-Za-z0-9+/=\s:,]|-(?!----))*+-----END \1-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -139,7 +139,11 @@ def masked(text: str | None) -> str | None:
 
 
 def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the secrets in its text masked; all rows and columns stay, null stays null."""
+    """``df`` with the secrets in its text masked.
+
+    All rows and columns stay, repeated rows and null ids too, whatever the columns' names; null and empty texts
+    stay as they are; long texts are scanned whole, in time in proportion; an empty table gives an empty one.
+    """
     names = with_texts(df).columns
     place = names.index(text_col)
 

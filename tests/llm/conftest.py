@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -21,3 +23,16 @@ def docs(spark):
 
 PROSE = "the quick brown fox jumps over a lazy dog while seven wizards mix potions and forty sailors sing about distant harbours under pale moonlight before morning comes again"
 HARD = [None, "", " \t\n", "one", "x" * 300_000, "word " * 60_000, PROSE, PROSE, "äöü ß 漢字 😀 \u0130stanbul", "\x00\x01 \x0b\x0c\r\n end"]
+
+
+def assert_linear(work, part, chars=150_000):
+    """Four times the text takes far less than sixteen times the time, the best of three counting."""
+    took = []
+    for n in (chars, 4 * chars):
+        text, best = part * (n // len(part)), 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            work(text)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 9 * took[0] + 0.02, took
