@@ -35,9 +35,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], rows.schema)
-    # Each row is a message, even where turns repeat.
-    events = rows.union(more).select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return chat.read_back(chat.render(chat.fold(events)))
+    return chat.read_back(chat.render(chat.fold(chat.recorded(rows.union(more)))))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,24 @@ PARTS = ["<", "\\", "|", "im_start|>", "<|im_end|>\n", "<|im_start|>", "</s>", "
 
 def messages(spark, *texts, role="assistant"):
     rows = [(1, k, role, x, k) for k, x in enumerate(texts)]
-    return spark.createDataFrame(rows, "conv_id long, message_id long, role string, text string, first_seq long")
+    df = spark.createDataFrame(rows, "conv_id long, message_id long, role string, text string, first_seq long")
+    return df.coalesce(1)
+
+
+def test_the_log_has_all_kinds_and_folds_to_the_messages(spark):
+    rows = [(k % 7, k // 7, ["user", "assistant", None][k % 3], x) for k, x in enumerate([None, "", "a", "é😀", "ab", "</s>", *(f"text {k} of some length" for k in range(80))])] + [(1, 0, "user", "twice")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.recorded(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = sorted((r.conv_id, r.first_seq // 8, r.role or "", r.text) for r in fold(log.repartition(5)).collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+def test_one_shuffle(spark, sf_dir):
+    df = queries.op3_chat(spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
 
 
 def test_escapes_are_reversible_and_leave_no_control_strings(spark):
