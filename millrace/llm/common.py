@@ -49,6 +49,12 @@ def folder(spark: SparkSession, path: str) -> tuple:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark would take, so that other libraries find the same place."""
+    fs, found = folder(spark, path)
+    return fs.makeQualified(found).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, found = folder(spark, path)
     fs.delete(found, True)

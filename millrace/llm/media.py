@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settle, with_texts, work_path
+from millrace.llm.common import qualified, settle, shared_root, with_texts
 
 #: Bytes of a payload row; a payload is a positive multiple of it.
 WIDTH = 64
@@ -73,11 +73,13 @@ def store(df: DataFrame) -> DataFrame:
     """Write the payloads of ``df``'s texts; returns the index (digest, shard, offset, length), one row a content.
 
     A task writes a content once, under names of its own, and its index rows count only if the
-    task ends well, so lost executors and repeated tasks leave no wrong rows. A content that
+    task ends well, so lost executors and repeated tasks leave no wrong rows. The shards stay when
+    the application ends. A content that
     several tasks hold is stored by each; the index has the first place by shard and offset. Null
     text is empty; an empty table gives an empty index. ``text`` is the only column read.
     """
-    root = work_path(df.sparkSession, "media")
+    spark = df.sparkSession
+    root = qualified(spark, f"{shared_root(spark)}/media-{uuid.uuid4().hex}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(root)
@@ -135,7 +137,10 @@ def ranges(batch: pa.RecordBatch, opened: dict, most: int | None = None) -> Iter
 
 
 def describe(index: DataFrame) -> DataFrame:
-    """The index with width, height, bit_depth and colour_type, from range reads of the headers alone."""
+    """The index with width, height, bit_depth and colour_type, from range reads of the headers alone.
+
+    Rows that repeat are read each; an empty index gives an empty table; a range that holds no image of this store is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
@@ -148,28 +153,29 @@ def describe(index: DataFrame) -> DataFrame:
 
 
 def features(described: DataFrame) -> DataFrame:
-    """Per content (digest, ...): what its stored bytes hold, read back whole.
+    """Per content (digest, shard, offset, length, ...): what its stored bytes hold, read back whole.
 
-    ``feature``: the header's metadata, and the samples' mean and entropy in bits.
+    Each row is taken by itself; an empty table gives an empty one. ``feature``: the header's metadata, and the samples' mean and entropy in bits.
     """
-    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    place = INDEX.replace(" string", "").replace(" long", "").split(", ")
+    names = [*place, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
         for batch in batches:
             out = []
-            shape = zip(*(batch.column(x).to_pylist() for x in ("digest", "width", "height", "bit_depth")), strict=True)
-            for (digest, width, height, depth), image in zip(shape, ranges(batch, opened), strict=True):
+            shape = zip(*(batch.column(x).to_pylist() for x in ("width", "height", "bit_depth")), strict=True)
+            for (width, height, depth), image in zip(shape, ranges(batch, opened), strict=True):
                 payload = decode(image)
                 share = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
                 entropy = -float(np.sum(share[share > 0] * np.log2(share[share > 0])))
                 feature = f"gray{depth}:{width}x{height}:mean={float(share @ np.arange(256)):.3f}:entropy={abs(entropy):.3f}"
-                out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature))
-            columns = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in place), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return described.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return described.mapInArrow(read, f"{INDEX}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def referenced(df: DataFrame) -> DataFrame:
@@ -181,10 +187,12 @@ def referenced(df: DataFrame) -> DataFrame:
 
 
 def media_columns(df: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), a row for each of ``df``: doc_id, text.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, digest, shard, offset, length), a row for each of ``df``: doc_id, text.
 
-    Writes the shards. Equal texts have equal values; repeated rows and null ids are rows like
+    The last four are where the payload is stored. Writes the shards. Equal texts have equal values; repeated rows and null ids are rows like
     others; other columns are ignored; an empty table gives an empty one.
     """
     read = features(describe(settle(store(df), "media-index")))
-    return referenced(df).join(read, "digest").drop("digest")
+    last = ["digest", "shard", "offset", "length"]
+    joined = referenced(df).join(read, "digest")
+    return joined.select(*(x for x in joined.columns if x not in last), *last)

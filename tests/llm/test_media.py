@@ -1,6 +1,9 @@
 import hashlib
+import math
+import struct
 import tarfile
 import zlib
+from collections import Counter
 from urllib.parse import urlparse
 
 from millrace.llm import media, queries
@@ -30,13 +33,30 @@ def test_shards_are_tar_files(docs, monkeypatch):
             assert hashlib.sha256(decode(tar.extractfile(member).read())).hexdigest() == r.digest
 
 
+def png(raw):
+    """A greyscale image of rows of 64 samples, written from the format's definition."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + raw[k : k + 64] for k in range(0, len(raw), 64))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">II", 64, len(raw) // 64) + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(rows, 6)) + part(b"IEND", b"")
+
+
 def check(texts, rows):
+    places = {}
     for r in rows:
-        text = texts[r.doc_id] or ""
-        payload = payload_of(text)
-        image = encode(payload)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest())
+        text = (texts[r.doc_id] or "").encode()
+        raw = text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
+        image = png(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(raw[-64:]), len(image), hashlib.sha256(image).hexdigest())
+        counts = Counter(raw)
+        entropy = -sum(n / len(raw) * math.log2(n / len(raw)) for n in counts.values())
+        head, size, mean, bits = r.feature.split(":")
+        assert (head, size) == ("gray8", f"64x{len(raw) // 64}")
+        assert abs(float(mean.removeprefix("mean=")) - sum(raw) / len(raw)) < 0.001 and abs(float(bits.removeprefix("entropy=")) - entropy) < 0.001
+        assert (r.digest, r.length) == (r.payload_sha256, r.media_bytes) and places.setdefault(r.digest, (r.shard, r.offset)) == (r.shard, r.offset)
+        with open(urlparse(r.shard).path, "rb") as f:
+            f.seek(r.offset)
+            assert f.read(r.length) == image
 
 
 def test_hard_rows(docs):
