@@ -27,7 +27,11 @@ SPAN_TYPE = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 # Anchors.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive")
+#: Names of kinds of streets by where a language has them: "12 Elm Street", "12 rue de la Paix", "Calle Mayor 12", "Lindenstraße 12".
+NUMBER_NAME_KIND = ("street", "avenue", "road", "boulevard", "lane", "drive", "court", "square", "terrace", "st", "ave", "rd", "blvd", "ln", "dr")
+NUMBER_KIND_NAME = ("rue", "avenue", "boulevard", "chemin", "allée", "quai", "impasse")
+KIND_NAME_NUMBER = ("calle", "avenida", "plaza", "paseo", "camino")
+NAME_KIND_NUMBER = ("straße", "strasse", "str.", "platz", "weg", "allee", "gasse", "ring", "damm")
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "social security")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +44,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"""[^\s<>"'`{}|\\^]+""")
 COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]*::?[0-9A-Fa-f:]*(?![0-9A-Za-z:])")
 FULL_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,6}(?:\x20[A-Z][a-z]{1,30}){1,3}\x20\Z")
+#: A street's own name: up to four words in capitals, small words between.
+NAMES = r"(?:(?:de|du|des|del|la|las|los|le|les|l'|d')\x20?){0,3}[^\W\d_a-z][\w'-]{0,30}(?:\x20(?:(?:de|du|des|del|la|le|y|et)\x20){0,2}[^\W\d_a-z][\w'-]{0,30}){0,3}"
+BEFORE = 110  # characters that an address can have before its street's kind
+HOUSE = re.compile(r"(?<!\w)[0-9]{1,6}[A-Za-z]?(?:\x20[A-Z][\w'-]{1,30}){1,3}\x20\Z")
+HOUSE_AT = re.compile(r"(?<!\w)[0-9]{1,5}(?:\x20?(?:bis|ter))?,?\x20\Z")
+NAME_AFTER = re.compile(r"\x20" + NAMES)
+NAME_NUMBER = re.compile(r"\x20" + NAMES + r",?\x20(?:[nN][.º°o]{1,2}\x20?)?[0-9]{1,5}(?!\w)")
+NAME_BEFORE = re.compile(r"(?<!\w)(?:[^\W\d_a-z][\w'-]{0,30}[\x20-])?[^\W\d_a-z][\w'-]{1,30}[\x20-]?\Z")
+NUMBER_AFTER = re.compile(r"\x20[0-9]{1,4}(?:\x20?[a-h])?(?!\w)")
 AFTER_CUE = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20?[:#=]?\x20?", re.I)
 ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9A-Za-z])")
 SSN = re.compile(r"[0-9]{3}[\x20-]?[0-9]{2}[\x20-]?[0-9]{4}(?![0-9A-Za-z])")
@@ -57,8 +69,12 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word(":", ("colon", 1))
     for x in SCHEMES:
         found.add_word(x, ("scheme", len(x)))
-    for x in STREETS:
-        found.add_word(f" {x.lower()}", ("street", len(x) + 1))
+    kinds: dict[str, set[str]] = {}
+    for form, names in (("end", NUMBER_NAME_KIND), ("middle", NUMBER_KIND_NAME), ("start", KIND_NAME_NUMBER), ("part", NAME_KIND_NUMBER)):
+        for x in names:
+            kinds.setdefault(x, set()).add(form)
+    for x, forms in kinds.items():
+        found.add_word(x, (("street", *sorted(forms)), len(x)))
     for x in ACCOUNT_CUES:
         found.add_word(x, (x, len(x)))
     found.make_automaton()
@@ -73,6 +89,34 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_ssn(text: str) -> bool:
+    """Areas 000, 666 and from 900 on, group 00 and serial 0000 are never given out."""
+    digits = "".join(x for x in text if x in DIGITS)
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def is_account(text: str) -> bool:
+    """Six digits or more that are not all the same."""
+    digits = {x for x in text if x in DIGITS}
+    return len(digits) > 1
+
+
+def street_at(text: str, at: int, end: int, forms: tuple[str, ...]) -> tuple[int, int] | None:
+    """The address around a street's kind, which is ``text[at:end]``, in one of the forms that the kind takes."""
+    if text[end : end + 1].isalnum():
+        return None
+    first = max(0, at - BEFORE)
+    if "end" in forms and text[at].isupper() and (m := HOUSE.search(text[first:at])):
+        return first + m.start(), end + (text[end : end + 1] == "." and end - at < 5)
+    if "middle" in forms and (n := NAME_AFTER.match(text, end)) and (m := HOUSE_AT.search(text[first:at])):
+        return first + m.start(), n.end()
+    if "start" in forms and not (at and text[at - 1].isalnum()) and (n := NAME_NUMBER.match(text, end)):
+        return at, n.end()
+    if "part" in forms and (n := NUMBER_AFTER.match(text, end)) and (m := NAME_BEFORE.search(text[first:at])):
+        return first + m.start(), n.end()
+    return None
+
+
 def is_iban(text: str) -> bool:
     compact = text.replace(" ", "")
     turned = compact[4:] + compact[:4]
@@ -99,6 +143,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         free[kind] = end
 
     low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    # Lower-casing keeps the places: only ASCII letters change, so that a non-ASCII letter in a street's kind is found in small letters alone.
     for last, (anchor, width) in anchors().iter(low):
         at = last + 1 - width
         if anchor == "digit":
@@ -144,17 +189,14 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
                     start -= 1
                 if m := FULL_IPV6.match(text, start):
                     keep("ipv6", *m.span())
-        elif anchor == "street":
-            after = text[last + 1 : last + 2]
-            if text[at + 1 : last + 1] in STREETS and not after.isalnum() and (m := HOUSE.search(text[max(0, at - 110) : at + 1])):
-                start = max(0, at - 110) + m.start()
-                if start >= free["street"]:
-                    keep("street", start, last + 1)
+        elif anchor[0] == "street":
+            if (m := street_at(text, at, last + 1, anchor[1:])) and m[0] >= free["street"]:
+                keep("street", *m)
         elif not (at and text[at - 1].isalnum()):
             after = AFTER_CUE.match(text, last + 1).end()
             kind, form = {"iban": ("iban", IBAN), "ssn": ("ssn", SSN), "social security": ("ssn", SSN)}.get(anchor, ("account", ACCOUNT))
             if after >= free[kind] and (m := form.match(text, after)):
-                if kind != "iban" or is_iban(m[0]):
+                if {"iban": is_iban, "ssn": is_ssn, "account": is_account}[kind](m[0]):
                     keep(kind, *m.span())
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 

@@ -53,10 +53,23 @@ def test_cues_in_any_case_and_full_ipv6():
     text = "His Social Security Number 123-45-6789, soCial seCurity 123-45-6780; İ host 2001:0db8:85a3:0000:0000:8a2e:0370:7334, or Fe80:0:0:0:1:2:3:4."
     assert [(k, text[a:b]) for k, a, b in spans_of(text) if k not in BASE_KINDS] == [("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ipv6", "Fe80:0:0:0:1:2:3:4"), ("ssn", "123-45-6789"), ("ssn", "123-45-6780")]
     assert redact("Social Security 123-45-6789 at 1:2:3:4:5:6:7:8") == "Social Security [ssn] at [ipv6]"
-    assert not [s for s in spans_of("00:1a:2b:3c:4d:5e, 1:2:3:4:5:6:7:8:9, x1:2:3:4:5:6:7:8, 12:30:45, 12 Elm street") if s[0] in ("ipv6", "street")]
+    assert not [s for s in spans_of("00:1a:2b:3c:4d:5e, 1:2:3:4:5:6:7:8:9, x1:2:3:4:5:6:7:8, 12:30:45, 12 elm street") if s[0] in ("ipv6", "street")]
     assert spans_of("1:" * 200_000) == []
 
 
+def test_streets_of_four_languages():
+    text = "At 12 Elm St., 7 Old Mill Road; 221B Baker Street, 5 rue de la Paix. 12 bis, avenue Victor Hugo; Calle Mayor 5, Plaza de España, 3; Lindenstraße 12a, Haupt-Straße 3, Am Alten Platz 9, Bahnhofstr. 4"
+    found = [text[a:b] for k, a, b in spans_of(text) if k == "street"]
+    assert found == ["12 Elm St.", "7 Old Mill Road", "221B Baker Street", "5 rue de la Paix", "12 bis, avenue Victor Hugo", "Calle Mayor 5", "Plaza de España, 3", "Lindenstraße 12a", "Haupt-Straße 3", "Am Alten Platz 9", "Bahnhofstr. 4"]
+    for plain_text in ("the road 5", "in 12 streets", "He drove 12 Long Roadsters", "3 rue", "Calle", "der weg 5", "on the way 12 Drive", "boring 5", "a ring 12"):
+        assert not [s for s in spans_of(plain_text) if s[0] == "street"], plain_text
+
+
+def test_account_numbers_are_validated():
+    text = "SSN 000-12-3456, SSN 666-12-3456, SSN 900-12-3456, SSN 123-00-3456, SSN 123-45-0000, account 000000, account 111 111 11, acct 12 34 56 78"
+    assert [(k, text[a:b]) for k, a, b in spans_of(text) if k in ("ssn", "account")] == [("account", "12 34 56 78")]
+
+
 def test_redaction():
     assert redact("to joe@site.org or +1 (017) 555-7713") == "to [email] or [phone]"
 
