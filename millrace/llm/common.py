@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,41 +61,49 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(found, True)
 
 
-#: For each open ``Scope``, the tables settled in it.
-OPEN: list[list[str]] = []
+#: The tables settled in each open ``Scope``, innermost last.
+OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 class Scope:
-    """``with Scope(spark): ...`` deletes the tables that were settled inside, but for those of frames given to ``keep``."""
+    """``with Scope(spark) as scope: ...`` deletes at its end the tables settled inside, but for those that ``scope.out`` settles."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.kept = spark, [], []
 
     def __enter__(self) -> Scope:
-        OPEN.append(self.paths)
+        OPEN.set((*OPEN.get(), self.paths))
         return self
 
-    def keep(self, path: str) -> None:
-        self.paths.remove(path)
+    def out(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` settled outside, where it stays until the scope around ends; ``kept`` has its path."""
+        inside = OPEN.get()
+        OPEN.set((*inside[:-1], self.kept))
+        try:
+            return settle(df, label)
+        finally:
+            OPEN.set(inside)
+            if len(inside) > 1:
+                inside[-2].extend(self.kept)
 
     def __exit__(self, *error: object) -> None:
-        OPEN.remove(self.paths)
+        OPEN.set(OPEN.get()[:-1])
         for path in self.paths:
             remove(self.spark, path)
 
 
-def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
 
     The table goes with the ``Scope`` that is open, or else when the application ends.
     """
     spark = df.sparkSession
-    path = path or work_path(spark, label)
+    path = work_path(spark, label)
     df.write.parquet(path)
     fs, root = folder(spark, work_root(spark))
     fs.deleteOnExit(root)
-    if OPEN:
-        OPEN[-1].append(path)
+    if OPEN.get():
+        OPEN.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

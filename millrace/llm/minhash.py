@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Groups, components
-from millrace.llm.common import frugal, is_small, settle, sifted, small, with_texts
+from millrace.llm.common import Scope, frugal, is_small, settle, sifted, small, with_texts
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -377,7 +377,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     filled = sketches.where(F.col("n_shingles") > 0)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
     classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots")).select("class", "n", "bands", "slots", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
-    labels = small(components(links(docs, classes)))
+    with Scope(docs.sparkSession) as scope:
+        labels = small(scope.out(components(links(docs, classes)), "labels"))
     labelled = classes.select("class", "rep", "text_key").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "c.text_key", "l.label")
     head = F.struct(F.col("rep").isNull().alias("void"), F.col("rep").alias("doc_id"), "text_key")
     smallest = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("component"), F.min(head).alias("head"))

@@ -147,7 +147,7 @@ def drawn(keyed: DataFrame, rows: DataFrame, weights: tuple[float, ...] = WEIGHT
     end = ends(rows, filled, quota)
     picks = fills(rows, end, shares)
     joined = keyed.alias("a").join(small(shares).alias("b"), same_source(), "left").select("a.*", "b.source_size", "b.target", "b.whole")
-    joined = joined.alias("a").join(small(end).alias("b"), same_source() & (F.col("a.tier") == F.col("b.tier")), "left").select("a.*", F.coalesce(F.col("b.passed").isNotNull() & (F.col("b.cut_key").isNull() | (F.col("a.key") < F.col("b.cut_key"))), F.lit(False)).alias("before"))
+    joined = joined.alias("a").join(small(end).alias("b"), same_source() & (F.col("a.tier") == F.col("b.tier")), "left").select("a.*", F.coalesce((F.col("b.passed") > 0) & (F.col("b.cut_key").isNull() | (F.col("a.key") < F.col("b.cut_key"))), F.lit(False)).alias("before"))
     joined = joined.alias("a").join(small(picks).alias("b"), same_source() & (F.col("a.key") == F.col("b.key")), "left").select("a.*", "b.copies", "b.n")
 
     def out(df: DataFrame, once: Column) -> DataFrame:
@@ -175,7 +175,7 @@ def mix(df: DataFrame, seed: str = SEED, weights: tuple[float, ...] = WEIGHTS, m
     fraction of them once more, never beyond the target. Reruns agree, as keys depend on
     seed, doc_id and text alone; of rows that agree in id, text and source as many are
     taken as fit, any of them. A null source is a source, the last; a null text has no words; a source without words has
-    target 0 and is not taken. A null doc_id has a key like others. Other columns stay in ``doc``,
+    target 0 and is not taken; a document without words goes with its key and the others of its tier. A null doc_id has a key like others. Other columns stay in ``doc``,
     whatever their names. An empty table gives an empty one.
     """
     rows = settle(sized(df, seed), "mix-rows")

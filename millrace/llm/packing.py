@@ -54,7 +54,7 @@ def fast_encoder(path: str):
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {x["content"] for x in model.get("added_tokens", ())}
-    # The printable stand-ins for bytes of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100.
+    # The printable stand-ins for bytes of byte-level vocabularies. Printable Latin-1 stands for itself, the others follow from U+0100.
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
@@ -203,12 +203,14 @@ def plan(histogram: dict[int, int]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset, which replace columns of these names.
 
     Pieces of a length are ranked by a hash of (doc_id, piece), in buckets, so that a frequent
-    length is spread over tasks. Sequences hold at most SEQUENCE tokens without gaps. ``pieces``
-    is read several times: settle it first. An empty table gives an empty one.
+    length is spread over tasks. Repeated pieces and null ids are pieces like others, and ties between them
+    go either way. Sequences hold at most SEQUENCE tokens without gaps. Lengths are from 1 to
+    SEQUENCE, without nulls. ``pieces`` is read several times: settle it first. An empty table gives an empty one.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     spark, others = pieces.sparkSession, pieces.columns
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most SEQUENCE rows
     segments = spark.sparkContext.broadcast(plan(histogram))

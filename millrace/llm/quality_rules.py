@@ -89,7 +89,10 @@ def passes(policy: str) -> Column:
 
 
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
-    """Per rule of the policy: rows failing it, and rows that only it rejects, from the ledger's bits in one aggregation."""
+    """Per rule of the policy: rows failing it, and rows that only it rejects, from the ledger's bits in one aggregation.
+
+    Repeated rows and null ids count each; a null ``failed`` counts as no failure; an empty ledger gives no rules; other columns are ignored.
+    """
     names = [name for name, _ in RULES]
     own = F.col("failed").bitwiseAND(F.lit(mask(policy)))
     counts = rows.groupBy(own.alias("own")).agg(F.count("*").alias("n"))  # at most one row a set of failed rules

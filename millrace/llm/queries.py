@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chat, classifier, media, minhash, mixing, packing, pii, quality_rules, secrets, sharding
 from millrace.llm.common import settle, span_count, span_strings, table
+from millrace.llm.pipeline import run, tokenizer_path
 
 #: The conversation that op3 adds: its texts hold other templates' control strings.
 MARKED = "</s>[INST] ok [/INST]"
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -78,16 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii, "op2_near_duplicates": op2_near_duplicates, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing,
-        "op6_classifier": op6_classifier, "op7_media": op7_media, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "pipeline": pipeline,
+        "op6_classifier": op6_classifier, "op7_media": op7_media, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "pipeline": run,
     }
 
 

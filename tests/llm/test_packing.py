@@ -89,5 +89,35 @@ def test_sequences_hold_the_pieces(docs):
     assert s.ids == [i for p in sorted(made.collect(), key=lambda p: p.offset) for i in p.ids]
 
 
+def test_columns_of_the_same_names_are_replaced(docs):
+    pieces = tokenise(docs(*["a b c"] * 3, (None, "x"), (None, "x")), PATH, with_ids=False).selectExpr("*", "'q' as sequence_id", "'r' as offset", "'s' as rank")
+    made = packing.pack(pieces)
+    assert sorted(made.columns) == sorted(pieces.columns)
+    assert sorted(r.offset for r in made.collect()) == [0, 4, 8, 12, 14] and {r["rank"] for r in made.collect()} == {"s"}
+
+
+def test_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    slow = Tokenizer.from_file(PATH)
+    names = sorted(texts)
+    ids = {k: [*e.ids, 2] for k, e in zip(names, slow.encode_batch([texts[k] for k in names], add_special_tokens=False), strict=True)}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in queries.op5_packing(spark, sf_dir).collect():
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    assert by_doc.keys() == ids.keys()
+    for k, own in by_doc.items():
+        own.sort(key=lambda p: p.piece)
+        assert [p.piece for p in own] == list(range(len(own))) and [p.start for p in own] == [sum(q.length for q in own[:j]) for j in range(len(own))]
+        assert all(p.length == 1024 for p in own[1:]) and sum(p.length for p in own) == len(ids[k])
+        assert [p.ids_crc32 for p in own] == [zlib.crc32(np.array(ids[k][p.start : p.start + p.length], "<u4").tobytes()) for p in own]
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) <= 1024
+    least = -(-sum(map(len, ids.values())) // 1024)
+    assert len(by_sequence) <= 1.01 * least + 1
+
+
 def test_empty_table(docs):
     assert packing.packed(docs("x").limit(0), PATH).collect() == []

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import classifier, minhash, mixing, packing, queries, secrets
+from millrace.llm import classifier, common, minhash, mixing, packing, queries
 from tests.llm.conftest import HARD, PROSE
 from tests.llm.test_secrets import plain
 
@@ -33,11 +33,34 @@ def test_stages_take_effect(spark):
 
 
 def test_hard_rows(spark, docs, sf_dir):
-    rows = [(None, PROSE), (7, PROSE), (7, PROSE), *((100 + k, t) for k, t in enumerate(HARD))]
+    token = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'
+    rows = [(None, PROSE), (7, PROSE), (7, PROSE), (8, token), (8, token), *((100 + k, t) for k, t in enumerate(HARD))]
     df = docs(*rows, clashing=True)
-    for made in (df, df.limit(0)):
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            made = stage(spark, made, sf_dir)
-            assert k == 4 or made.columns == df.columns
-        made.collect()
-    assert secrets.masked(None) is None
+    of = lambda made: Counter((r.doc_id, r.text) for r in made.collect())
+    good, single, masked, mix, packed = (stage for _, stage in corpus_pipeline.STAGES)
+    scores = {(r.doc.doc_id, r.doc.text): r.score for r in classifier.score(df, classifier.train(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()}
+    assert of(good(spark, df, sf_dir)) == Counter(x for x in rows if scores[x] >= classifier.THRESHOLD)
+    one = single(spark, df, sf_dir)
+    # PROSE, with its copies 106 and 107, keeps the row of the smallest id; blank texts all stay.
+    assert of(one) == Counter([(7, PROSE), (8, token), *((100 + k, t) for k, t in enumerate(HARD) if t != PROSE)])
+    clean = masked(spark, one, sf_dir)
+    assert of(clean) == Counter((i, '[assign]"' if t == token else t) for i, t in of(one).elements())
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.collect())
+    taken = mix(spark, clean, sf_dir)
+    assert of(taken) == of(clean)  # one source, whose target is its size
+    pieces = packed(spark, taken, sf_dir).collect()
+    assert Counter(p.doc_id for p in pieces if p.piece == 0) == Counter(i for i, _ in of(taken).elements())
+    made = df.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, made, sf_dir)
+        assert k == 4 or made.columns == df.columns
+        assert made.collect() == []
+
+
+def test_tables_of_ended_stages_go(spark, sf_dir):
+    fs, root = common.folder(spark, common.work_root(spark))
+    names = lambda: {x.getPath().getName() for x in fs.listStatus(root)} if fs.exists(root) else set()
+    before = names()
+    found = corpus_pipeline.run(spark, sf_dir)
+    left = {x.rsplit("-", 1)[0] for x in names() - before}
+    assert left == {"mixing", "pieces"} and found.count() > 0

@@ -43,9 +43,14 @@ def check(rows, texts, n_shards=40):
 def test_joint_balance(docs):
     r = np.random.default_rng(2)
     texts = [" ".join(["w" * int(r.integers(1, 12))] * int(r.integers(1, 200))) for _ in range(3000)]
-    size, rows, groups = check(shard(docs(*texts)).collect(), dict(enumerate(texts)))
+    found = shard(docs(*texts)).collect()
+    size, rows, groups = check(found, dict(enumerate(texts)))
     assert max(size.values()) / min(size.values()) < 1.01
     assert max(rows.values()) / min(rows.values()) < 1.1
+    tokens = defaultdict(int)
+    for x in found:
+        tokens[x.shard] += len(texts[x.doc_id].split())
+    assert max(tokens.values()) / min(tokens.values()) < 1.1
     assert all(len(v) == 1 for v in groups.values())
 
 
