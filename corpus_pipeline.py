@@ -1,51 +1,5 @@
-"""The corpus pipeline: each stage applies one operator to what its predecessor kept."""
+"""The corpus pipeline, whose stages are in the subpackage of its operators."""
 
-from __future__ import annotations
+from millrace.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.llm import classifier, minhash, mixing, packing, secrets
-from millrace.llm.common import settle, table
-from millrace.llm.queries import tokenizer_path
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") >= classifier.THRESHOLD).select("doc.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.deduplicated(docs)
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the secrets' kinds; n_chars is the new text's."""
-    masked = secrets.mask_secrets(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.packed(docs, tokenizer_path())
-
-
-STAGES = [("quality classifier", quality), ("near-duplicates", near_duplicates), ("secrets", mask_secrets), ("mixing", mix), ("packing", pack)]
-#: The model, the packing and the tokenizer cannot be expressed in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs, name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
