@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import as_of, sessions, top_k
@@ -23,6 +24,17 @@ def test_as_of_on_empty_sides(spark):
     assert as_of(left.limit(0), right, ["k"], "ts", ["v"]).count() == 0
 
 
+def test_as_of_on_nulls(spark):
+    left = spark.createDataFrame([(1, None, at(5)), (2, "a", None), (3, "a", at(5))], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([(None, at(3), 30), ("a", None, 9), ("a", at(4), 40)], "k string, ts timestamp, v int")
+    assert {r.id: r.v for r in as_of(left, right, ["k"], "ts", ["v"]).collect()} == {1: None, 2: None, 3: 40}
+
+
+def test_top_k_keeps_no_column_silently(spark):
+    with pytest.raises(ValueError, match="rn"):
+        top_k(spark.range(3).withColumn("rn", F.lit(1)), ["id"], [F.col("rn")], 1)
+
+
 def test_top_k(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 5)], "k string, v int")
     assert sorted((r.k, r.v, r.rn) for r in top_k(df, ["k"], [F.desc("v")], 2).collect()) == [("a", 2, 2), ("a", 3, 1), ("b", 5, 1)]
