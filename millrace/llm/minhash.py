@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import Groups, components
+from millrace.llm.components import MOST_NODES, Groups, components
 from millrace.llm.common import Scope, frugal, is_small, settle, sifted, small, with_texts
 
 SHINGLE = 5
@@ -177,13 +177,9 @@ def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """(i, j) of the signatures of x and y that agree in at least AGREE slots."""
     a, b = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SLOTS) for z in (x, y))
-    found, rows = [], max(1, PAIRS // len(b))
-    for k in range(0, len(a), rows):
-        same = np.zeros((len(a[k : k + rows]), len(b)), np.int16)
-        for slot in range(SLOTS):
-            same += a[k : k + rows, slot, None] == b[None, :, slot]
-        found.append(np.argwhere(same >= AGREE) + [k, 0])
-    return np.concatenate(found)
+    rows = max(1, (1 << 22) // (len(b) * SLOTS))  # some MB at once
+    same = [np.count_nonzero(a[k : k + rows, None, :] == b[None, :, :], axis=2) for k in range(0, len(a), rows)]
+    return np.argwhere(np.concatenate(same) >= AGREE)
 
 
 def confirmed(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -227,23 +223,25 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(frugal(draw), f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>, slots binary")
 
 
-def compared(rows: DataFrame, match: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+def compared(rows: DataFrame, match: Callable[[list[bytes], list[bytes]], np.ndarray], whole: bool = False) -> DataFrame:
     """Links (a, b) of classes that ``match`` finds; ``rows``: block, side, class, payload.
 
     A block is two sides of a bounded number of classes, or one that is compared with itself. Rows
-    come sorted by block, and of the pairs that match those are returned that join what earlier
-    ones have not.
+    come sorted by block. Of the pairs that match those are returned that join what earlier ones of
+    the task have not, and a block whose classes are joined already is passed over; with
+    ``whole``, all that join what earlier ones of their block have not.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found = None, []
+        at, found, groups = None, [], Groups()
         sides: tuple[dict[int, bytes], dict[int, bytes]] = ({}, {})
 
         def close() -> None:
             x, y = sides if sides[1] else (sides[0], sides[0])
-            if x and (x is not y or len(x) > 1):
-                names, others = list(x), list(y)
-                groups = Groups()
+            names, others = list(x), list(y)
+            if whole or len(groups.parent) > MOST_NODES:
+                groups.parent.clear()
+            if x and len({groups.find(z) for z in (*names, *others)}) > 1:
                 for i, j in match(list(x.values()), list(y.values())).tolist():
                     a, b = names[i], others[j]
                     if groups.find(a) != groups.find(b):
@@ -317,7 +315,7 @@ def matched(members: DataFrame, match: Callable[[list[bytes], list[bytes]], np.n
     if sums.where("parts > 1").isEmpty():
         return found
     large = own.where("parts > 1")
-    star = settle(compared(star_blocks(large), match), f"{label}-star")
+    star = settle(compared(star_blocks(large), match, whole=True), f"{label}-star")
     near = star.select(F.col("a").alias("near_class"), F.col("b").alias("near_centre")).distinct()
     is_near = (F.col("class") == F.col("near_class")) & (F.col("centre") == F.col("near_centre"))
     rest = large.join(small(settle(near, f"{label}-near")), is_near, "left").select("group", "class", "n", "payload", (F.col("near_class").isNotNull() | (F.col("class") == F.col("centre"))).alias("near"))
@@ -379,11 +377,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     classes = settle(filled.groupBy("class").agg(own.alias("own"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots")).select("class", "n", "bands", "slots", F.col("own.doc_id").alias("rep"), "own.text_key"), "classes")
     with Scope(docs.sparkSession) as scope:
         labels = small(scope.out(components(links(docs, classes)), "labels"))
-    labelled = classes.select("class", "rep", "text_key").alias("c").join(labels.alias("l"), F.col("c.class") == F.col("l.node"), "left").select("c.class", "c.rep", "c.text_key", "l.label")
+    # Only classes in components are many to a label; the others name themselves.
+    inside = settle(classes.select("class", "rep", "text_key").join(labels.select(F.col("node").alias("class"), "label"), "class"), "labelled")
     head = F.struct(F.col("rep").isNull().alias("void"), F.col("rep").alias("doc_id"), "text_key")
-    smallest = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("component"), F.min(head).alias("head"))
-    alone = F.col("g.label").isNull()
-    named = labelled.withColumn("own", head).alias("g").join(smallest.alias("s"), F.col("g.label") == F.col("s.label"), "left").select(
+    smallest = settle(inside.groupBy("label").agg(F.min("rep").alias("component"), F.min(head).alias("head")), "smallest")
+    in_groups = settle(inside.join(small(smallest), "label").select("class", "component", "head"), "named")
+    alone = F.col("s.head").isNull()
+    named = classes.select("class", "rep", head.alias("own")).alias("g").join(small(in_groups).alias("s"), F.col("g.class") == F.col("s.class"), "left").select(
         "g.class", F.when(alone, F.col("g.rep")).otherwise(F.col("s.component")).alias("component"), F.when(alone, F.col("g.own")).otherwise(F.col("s.head")).alias("head")
     )
     joined = sketches.select("doc_id", "text_key", "n_shingles", "class").alias("d").join(named.alias("n"), (F.col("d.class") == F.col("n.class")) & (F.col("d.n_shingles") > 0), "left")
