@@ -57,13 +57,16 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         count(f"{WORD_START}{IN_WORD}\\p{{Lu}}{{2,}}+{IN_WORD}{WORD_END}").alias("n_shouted"),
         count(f"{WORD_START}{IN_WORD}\\p{{L}}").alias("n_letter_words"),
     )
-    hashed = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
-    windows = split.select(
+    hashed = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    counted = split.select(
         "id", "n_symbols", "n_shouted", "n_letter_words",
         F.size("words").cast("long").alias("n_words"), F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.when(F.size("words") >= 3, hashed)).alias("windows"),
+        F.when(F.size("words") >= 3, hashed).alias("hashes"),
     )
+    # Only texts with a repeated window need the places.
+    repeats = F.size("hashes") > F.size(F.array_distinct("hashes"))
+    windows = counted.select(*(x for x in counted.columns if x != "hashes"), F.sort_array(F.when(repeats, F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("windows"))
     twice = lambda x, k: F.coalesce(F.get("windows", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("windows", k + 1)["h"] == x["h"], F.lit(False))
     placed = windows.select(*(x for x in windows.columns if x != "windows"), F.sort_array(F.transform(F.filter("windows", twice), lambda x: x["i"])).alias("places"))
     new = F.transform("places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - x, F.lit(3))))
