@@ -6,6 +6,7 @@ claims to be one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import dot, norm
 from millrace.operators.ordered import as_of, sessions, top_k
-from millrace.sources.tables import table
+from millrace.plans.views import run
+from millrace.sources.tables import streamed, table
+from millrace.streaming.windows import counts, drained, stream_root
 
 
 def revenue() -> Column:
@@ -61,6 +64,18 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(norm(F.col("embedding")), 4).alias("norm"), F.round(dot(F.col("embedding"), F.reverse("embedding")), 4).alias("turned"))
 
 
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events, drained into a folder for streams: the windows that its watermark has closed."""
+    path = f"{stream_root(spark)}/hourly-events-{uuid.uuid4().hex}"
+    drained(counts(streamed(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "1 hour"), f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over views."""
+    return run(spark, sf_dir, ["lineitem", "supplier", "nation"], "SELECT n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 25 GROUP BY n_name")
+
+
 FLAGSHIP = top_orders
 SQL = {
     "line_summary": """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n
@@ -75,13 +90,17 @@ numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, min(ts) AS start, count(*) AS n FROM numbered GROUP BY user_id, session""",
     "last_view": """SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "hourly_events": """WITH hours AS (SELECT date_trunc('hour', ts) AS start, event_type FROM events)
+SELECT start, event_type, count(*) AS n FROM hours WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""",
+    "supplier_lines": """SELECT n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem, supplier, nation
+WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND l_quantity > 25 GROUP BY n_name""",
     "vector_norms": """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm,
 round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * embedding[len(embedding) + 1 - i]::DOUBLE)), 4) AS turned FROM embeddings""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (line_summary, top_orders, top_lines, customers_by_place, user_sessions, last_view, vector_norms)}
+    return {f.__name__: f for f in (line_summary, top_orders, top_lines, customers_by_place, user_sessions, last_view, vector_norms, hourly_events, supplier_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,3 +20,13 @@ def drained(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def stream_root(spark: SparkSession) -> str:
+    """A folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one for local sessions without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints/millrace"
+    return f"{root.rstrip('/')}/streams-{spark.sparkContext.applicationId}"
