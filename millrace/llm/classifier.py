@@ -7,9 +7,7 @@ sum_{i<j} <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 """
 
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import frugal, with_texts
+from millrace.llm.words import BASE, EXACT, LOWER, U, groups, joined, mixed, words_of
 
 WORD_BITS = 14
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
@@ -38,49 +37,66 @@ STATS = (
     "length", "word_length", "symbols", "bars", "bangs", "digits", "capitals", "shouted", "stops", "commas",
     "line_words", "repeated_lines", "repeated_words", "top_word", "repeated_windows", "distinct_words",
 )
-SYMBOL = re.compile(rb"[#*$%&<>]")
-DIGIT = re.compile(rb"[0-9]")
-CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SIZE = (1 << WORD_BITS) + len(STATS) + 1
 
 
-def stats_of(text: str, raw: bytes, words: list[bytes], counts: Counter) -> list[float]:
-    n = max(len(words), 1)
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    n_lines = max(len(lines), 1)
-    windows = set(zip(words, words[1:], words[2:], strict=False))
-    return [
-        math.log1p(len(raw)), len(raw) / n, len(SYMBOL.findall(raw)) / n, raw.count(b"|") / n, raw.count(b"!") / n, len(DIGIT.findall(raw)) / n,
-        len(CAPITAL.findall(text)) / n, sum(c for w, c in counts.items() if len(w) > 1 and w.isupper()) / n, raw.count(b".") / n, raw.count(b",") / n,
-        math.log1p(n / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, 1 - len(counts) / n if words else 0.0,
-        max(counts.values(), default=0) / n, 1 - len(windows) / max(n - 2, 1) if windows else 0.0, math.log1p(len(counts)),
-    ]
-
-
-class Featuriser:
-    """Features of texts; keeps the places of words it has seen, up to a bound."""
-
-    MOST = 250_000
-
-    def __init__(self) -> None:
-        self.places: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
-        """(places of distinct words, their values, statistics); the values have length 1."""
-        raw = text.encode("utf-8", "surrogatepass")
-        words = raw.split()
-        counts = Counter(words)
-        if len(self.places) > self.MOST:
-            self.places.clear()
-        known, at = self.places, []
-        for w in counts:
-            if (k := known.get(w)) is None:
-                k = known[w] = zlib.crc32(w.lower()) & ((1 << WORD_BITS) - 1)
-            at.append(k)
-        values = np.log1p(np.fromiter(counts.values(), float, len(counts)))
+def marks(chars: bytes) -> np.ndarray:
+    """1 for these bytes, 0 for others."""
+    out = np.zeros(256, np.uint8)
+    out[list(chars)] = 1
+    return out
+
+
+SYMBOLS, BARS, BANGS, DIGITS, STOPS, COMMAS = map(marks, (b"#*$%&<>", b"|", b"!", b"0123456789", b".", b","))
+CAPITALS, SMALL = marks(bytes(range(0x41, 0x5B))), marks(bytes(range(0x61, 0x7B)))
+#: Second bytes of the Latin-1 capitals, whose first is 0xC3.
+LATIN_CAPITALS = marks(bytes(x for x in range(0x80, 0x9F) if x != 0x97))
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order that sorts x, where its distinct values begin in it, how often each comes)."""
+    order = np.argsort(x)
+    ordered = x[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(x) else np.zeros(0, np.int64)
+    return order, at, np.diff(at, append=len(x))
+
+
+def features(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, list[float]]]:
+    """For each text: (places of its distinct words, their values, statistics). The values have length 1."""
+    data, begins = joined(raws)
+    starts, ends, (exact, lower), (capitals, small) = words_of(data, (EXACT, LOWER), (CAPITALS, SMALL))
+    firsts = np.searchsorted(starts, [*begins, len(data)])
+    n_words = np.diff(firsts)
+    count = lambda x: np.add.reduceat(x, begins, dtype=np.int64) if len(begins) else np.zeros(0)
+    latin = np.append((data[:-1] == 0xC3) & LATIN_CAPITALS[data[1:]].astype(bool), False)
+    shout = np.append(0, np.cumsum((ends - starts > 1) & (capitals > 0) & (small == 0)))
+    n = np.maximum(n_words, 1)
+    sizes = np.array([len(x) for x in raws], float)
+    shares = [sizes, *(count(t[data]) for t in (SYMBOLS, BARS, BANGS, DIGITS)), count(CAPITALS[data]) + count(latin), shout[firsts[1:]] - shout[firsts[:-1]], count(STOPS[data]), count(COMMAS[data])]
+    by_text = np.stack([np.log1p(sizes), *(x / n for x in shares)], axis=1) if raws else np.zeros((0, 10))
+    places = (lower & U((1 << WORD_BITS) - 1)).astype(np.int64)
+    whole = mixed((exact[:-2] * U(BASE) + exact[1:-1]) * U(BASE) + exact[2:]) if len(exact) > 2 else np.zeros(0, U)
+    made = []
+    for k, raw in enumerate(raws):
+        a, b = int(firsts[k]), int(firsts[k + 1])
+        order, at, counts = runs(exact[a:b])
+        values = np.log1p(counts)
         if len(values):
             values /= math.sqrt(float(values @ values))
-        return np.array(at, np.int64), values, stats_of(text, raw, words, counts)
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        n_own, n_lines, n_windows = max(b - a, 1), max(len(lines), 1), len(runs(whole[a : b - 2])[1]) if b - a > 2 else 0
+        stats = [
+            *by_text[k], math.log1p(n_own / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, 1 - len(at) / n_own if b > a else 0.0,
+            int(counts.max(initial=0)) / n_own, 1 - n_windows / max(n_own - 2, 1) if n_windows else 0.0, math.log1p(len(at)),
+        ]
+        made.append((places[a:b][order[at]], values, stats))
+    return made
+
+
+def features_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[float]]]:
+    """``features`` of a column's texts, null as empty."""
+    for _, raws in groups(texts):
+        yield from features(raws)
 
 
 @dataclass
@@ -170,9 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", F.xxhash64("text").alias("text_key"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featuriser()
         for batch in batches:
-            made = [make(x.as_py()) for x in batch.column("text")]
+            made = list(features_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([a.astype(np.int32) for a, _, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v, _ in made], pa.list_(pa.float32())), pa.array([s for _, _, s in made], pa.list_(pa.float64()))],
                 ["doc_id", "quality", "text_key", "places", "values", "stats"],
@@ -201,10 +216,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featuriser()
         for batch in batches:
-            texts = batch.column(0).field(place)
-            parts = [shared.value.score([make(x.as_py() or "") for x in texts[k : k + 256]]) for k in range(0, len(texts), 256)]
+            parts = [shared.value.score(features(raws)) for _, raws in groups(batch.column(0).field(place))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc", "score"])
 
     kind = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])

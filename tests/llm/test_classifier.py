@@ -1,16 +1,22 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from millrace.llm import classifier, queries
-from millrace.llm.classifier import Featuriser, Model, fit, score, train
+from millrace.llm import words as hashed
+from millrace.llm.classifier import Model, features, fit, score, train
 from tests.llm.conftest import HARD, PROSE
 
 
 def test_linear_time_score_equals_all_pairs():
     r = np.random.default_rng(3)
     model = Model(np.zeros(len(classifier.STATS)), np.ones(len(classifier.STATS)), r.normal(size=classifier.SIZE), r.normal(size=(classifier.SIZE, classifier.FACTORS)) / 4)
-    texts = [Featuriser()(t) for t in (PROSE, "one", "")]
+    texts = features([t.encode() for t in (PROSE, "one", "")])
     starts, at, values = model.rows(texts)
     logits, _ = model.logits(starts, at, values)
     for k, got in enumerate(logits):
@@ -20,6 +26,36 @@ def test_linear_time_score_equals_all_pairs():
         assert abs(got - (float(model.weights[a] @ v) + pairs)) < 1e-6
 
 
+def slow_features(text):
+    """Values by word and statistics, word by word."""
+    raw = text.encode()
+    words = raw.split()
+    counts, n = Counter(words), max(len(words), 1)
+    values = {w: math.log1p(c) for w, c in counts.items()}
+    length = math.sqrt(sum(v * v for v in values.values()))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    windows = set(zip(words, words[1:], words[2:], strict=False))
+    chars = [sum(c in x for c in text) / n for x in ("#*$%&<>", "|", "!", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", ".", ",")]
+    shouted = sum(len(w) > 1 and w.isupper() for w in words) / n
+    stats = [math.log1p(len(raw)), len(raw) / n, *chars[:5], shouted, *chars[5:], math.log1p(n / max(len(lines), 1)), 1 - len(set(lines)) / len(lines) if lines else 0, 1 - len(counts) / n if words else 0]
+    return sorted(v / length for v in values.values()), [*stats, max(counts.values(), default=0) / n, 1 - len(windows) / max(n - 2, 1) if windows else 0, math.log1p(len(counts))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abAB É×Þ漢#|!.,5\n\t"), max_size=40), max_size=5), st.sampled_from([1, 9, 1 << 20]))
+def test_features_equal_those_word_by_word(texts, chunk):
+    was, hashed.CHUNK = hashed.CHUNK, chunk
+    try:
+        found = features([t.encode() for t in texts])
+    finally:
+        hashed.CHUNK = was
+    for t, (places, values, stats) in zip(texts, found, strict=True):
+        want = slow_features(t)
+        assert len(places) == len(values) and sorted(values) == pytest.approx(want[0]) and stats == pytest.approx(want[1])
+    for a, b in ("aB Ab", "ab ab"), ("ÄB", "ÄB "):
+        assert set(features([a.encode()])[0][0]) == set(features([b.encode()])[0][0])
+
+
 def test_pairs_are_learnt():
     """Labels that no single word decides: both words or neither."""
     r = np.random.default_rng(5)
@@ -28,8 +64,7 @@ def test_pairs_are_learnt():
         a, b = r.integers(2), r.integers(2)
         texts.append(" ".join(["alpha" if a else "beta", "gamma" if b else "delta"] * 3))
         labels.append(int(a == b))
-    make = Featuriser()
-    rows = [make(t) for t in texts]
+    rows = features([t.encode() for t in texts])
     model = fit(rows[:800], np.array(labels[:800], float))
     assert ((model.score(rows[800:]) >= 0.5) == np.array(labels[800:])).mean() > 0.95
 
@@ -55,7 +90,7 @@ def test_held_out_labels_teach_nothing(spark, docs):
 
 def test_sample_is_bounded(spark, docs):
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
-    assert train(docs(*[f"a{k}" for k in range(100)]), labels, most=0).score([Featuriser()("x")])[0] == 0.5
+    assert train(docs(*[f"a{k}" for k in range(100)]), labels, most=0).score(features([b"x"]))[0] == 0.5
 
 
 def test_repeated_rows_do_not_lift_the_bound(spark, docs, monkeypatch):
