@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import MOST_NODES, Groups, components
 from millrace.llm.common import Scope, frugal, is_small, settle, sifted, small, with_texts
+from millrace.llm.components import MOST_NODES, Groups, components
+from millrace.llm.words import LOWER, U, groups, joined, mixed, words_of
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -42,41 +43,29 @@ AGREE = 76
 PART_CLASSES, PART_SHINGLES = 512, 1_000_000
 #: Columns of a membership matrix, and pairs that are counted at once.
 COLUMNS, PAIRS = 2048, 4_000_000
-#: Elements whose steps are taken together.
-BATCH = 100_000
-U = np.uint64
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: multiplications and shifts that spread every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Shingler:
-    """Shingle sets of texts as sorted distinct 64-bit hashes; keeps the hashes of words it has seen, up to a bound."""
-
-    MOST = 250_000
-
-    def __init__(self) -> None:
-        self.hashes: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and blanks alone
-        if not words:
-            return np.zeros(0, U)
-        known = self.hashes
-        if len(known) > self.MOST:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), U, len(words))
-        n = min(len(h), SHINGLE)
-        total = np.full(len(h) - n + 1, n, U)
+
+
+def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
+    """The shingle set of each text, as sorted distinct 64-bit hashes."""
+    data, begins = joined(raws)
+    starts, _, (h,), _ = words_of(data, (LOWER,))
+    firsts = np.searchsorted(starts, [*begins, len(data)])
+
+    def rolled(x: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(len(x) - n + 1, n, U)
         for k in range(n):
-            total = total * U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-        return np.unique(mixed(total))
+            total = total * U(0x9E3779B97F4A7C15) + x[k : len(x) - n + 1 + k]
+        return mixed(total)
+
+    whole = rolled(h, SHINGLE) if len(h) >= SHINGLE else np.zeros(0, U)
+    sets = []
+    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+        if b - a < SHINGLE:
+            sets.append(rolled(h[a:b], b - a) if b > a else np.zeros(0, U))
+            continue
+        own = np.sort(whole[a : b - SHINGLE + 1])
+        sets.append(own[np.flatnonzero(np.diff(own, prepend=~own[:1]))])
+    return sets
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -197,8 +186,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler()
-
         def out(ids: pa.Array, keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
             drawn = signatures([s for s in sets if len(s)])
             offsets = np.zeros(len(sets) + 1, np.int32)
@@ -212,13 +199,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([ids, keys, *columns], ["doc_id", "text_key", "n_shingles", "class", "bands", "slots"])
 
         for batch in batches:
-            first, sets, total = 0, [], 0
-            for k, x in enumerate(batch.column(2)):
-                sets.append(cut(x.as_py()))
-                total += len(sets[-1])
-                if total >= BATCH or k == batch.num_rows - 1:
-                    yield out(batch.column(0)[first : k + 1], batch.column(1)[first : k + 1], sets)
-                    first, sets, total = k + 1, [], 0
+            for first, raws in groups(batch.column(2)):
+                yield out(batch.column(0).slice(first, len(raws)), batch.column(1).slice(first, len(raws)), shingle_sets(raws))
 
     return rows.mapInArrow(frugal(draw), f"doc_id {kind}, text_key long, n_shingles long, class long, bands array<long>, slots binary")
 
@@ -344,16 +326,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = d.alias("d").join(small(wanted).alias("w"), own).select("w.group", "w.class", "w.weight", "d.text")
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Shingler(), set()
+        seen = set()
         for batch in batches:
-            new, sets = [], []
+            new = []
             for k, own in enumerate(batch.column(1).to_pylist()):
                 if own not in seen:
                     seen.add(own)
                     new.append(k)
-                    sets.append(cut(batch.column(3)[k].as_py()))
             kept = batch.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "class", "weight", "n", "payload"])
+            for first, raws in groups(kept.column(3)):
+                sets = shingle_sets(raws)
+                rows = kept.slice(first, len(raws))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["group", "class", "weight", "n", "payload"])
 
     return settle(with_texts(texts).mapInArrow(frugal(cut_sets), "group long, class long, weight long, n long, payload binary"), "sets")
 

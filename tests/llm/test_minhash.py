@@ -5,9 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import common, minhash, queries, sql
+from millrace.llm import common, minhash, queries, sql, words
 from millrace.llm.components import Groups, components
-from millrace.llm.minhash import SLOTS, Shingler, bands, deduplicated, near_duplicates, signatures
+from millrace.llm.minhash import SLOTS, bands, deduplicated, near_duplicates, shingle_sets, signatures
 from tests.helpers import assert_same
 from tests.llm.conftest import HARD, PROSE
 
@@ -63,7 +63,24 @@ def test_signatures_estimate_similarity():
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("aAbÄ \t\x0b\x1c\xa0\n"), max_size=40))
 def test_shingle_sets(text):
-    assert len(Shingler()(text)) == len(shingles(text))
+    assert len(shingle_sets([text.encode()])[0]) == len(shingles(text))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbÄ \t\x0b\x1c\xa0\n"), max_size=40), max_size=6), st.sampled_from([1, 7, 1 << 20]))
+def test_shingle_sets_of_many_texts(texts, chunk):
+    """Equal shingles have equal hashes in whatever company and parts the texts are taken."""
+    was, words.CHUNK = words.CHUNK, chunk
+    try:
+        sets = shingle_sets([t.encode() for t in texts])
+    finally:
+        words.CHUNK = was
+    alone = [shingle_sets([t.encode()])[0] for t in texts]
+    assert [s.tolist() for s in sets] == [s.tolist() for s in alone]
+    for t, s in zip(texts, sets, strict=True):
+        assert len(s) == len(shingles(t))
+        for u, other in zip(texts, sets, strict=True):
+            assert len(np.intersect1d(s, other)) == len(shingles(t) & shingles(u))
 
 
 def edited(r, words, n):
