@@ -144,7 +144,7 @@ def clear_work(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch of texts, unless the session has another bound than Spark's own of 64 MB.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SPARKS_OWN = "67108864b"
 
 

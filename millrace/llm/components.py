@@ -12,7 +12,7 @@ from millrace.llm.common import settle, small
 
 
 #: A task gives out what it has united when it holds more nodes than this, whatever the size of its part of the links.
-MOST_NODES = 500_000
+MOST_NODES = 200_000
 
 
 class Groups:

@@ -42,7 +42,7 @@ AGREE = 76
 #: Sizes of a part of a bucket or family that is compared at once, in classes and in shingles.
 PART_CLASSES, PART_SHINGLES = 512, 1_000_000
 #: Columns of a membership matrix, and pairs that are counted at once.
-COLUMNS, PAIRS = 2048, 4_000_000
+COLUMNS, PAIRS = 1024, 1_000_000
 
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
@@ -166,7 +166,7 @@ def linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def agreeing(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """(i, j) of the signatures of x and y that agree in at least AGREE slots."""
     a, b = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SLOTS) for z in (x, y))
-    rows = max(1, (1 << 22) // (len(b) * SLOTS))  # some MB at once
+    rows = max(1, (1 << 21) // (len(b) * SLOTS))  # some MB at once
     same = [np.count_nonzero(a[k : k + rows, None, :] == b[None, :, :], axis=2) for k in range(0, len(a), rows)]
     return np.argwhere(np.concatenate(same) >= AGREE)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are taken together up to so many bytes; a longer one is taken alone, its words hashed part by part.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: An odd number, so that its powers have inverses modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -69,7 +69,7 @@ def words_of(data: np.ndarray, tables: tuple[np.ndarray, ...], counted: tuple[np
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
             continue
-        up, down = powers(max(CHUNK * 2, len(part)))
+        up, down = powers(max(CHUNK + 4096, len(part)))
         sizes = (ends - starts).astype(U) * U(BASE)
         hashes = [mixed(np.add.reduceat(t[part] * up[: len(part)], starts) * down[starts] + sizes) for t in tables]
         sums = [np.add.reduceat(t[part], starts, dtype=np.int64) for t in counted]
