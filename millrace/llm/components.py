@@ -42,6 +42,8 @@ class Groups:
 def unite(links: DataFrame) -> DataFrame:
     """Links (a, b) of each task replaced by those of its nodes with the smallest of their group there; a group's smallest is linked with itself."""
 
+    most = MOST_NODES
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
 
@@ -51,7 +53,7 @@ def unite(links: DataFrame) -> DataFrame:
 
         for batch in batches:
             groups.add(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            if len(groups.parent) > MOST_NODES:
+            if len(groups.parent) > most:
                 yield out()
                 groups.parent.clear()
         yield out()

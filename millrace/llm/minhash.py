@@ -214,6 +214,8 @@ def compared(rows: DataFrame, match: Callable[[list[bytes], list[bytes]], np.nda
     ``whole``, all that join what earlier ones of their block have not.
     """
 
+    most = MOST_NODES
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found, groups = None, [], Groups()
         sides: tuple[dict[int, bytes], dict[int, bytes]] = ({}, {})
@@ -221,7 +223,7 @@ def compared(rows: DataFrame, match: Callable[[list[bytes], list[bytes]], np.nda
         def close() -> None:
             x, y = sides if sides[1] else (sides[0], sides[0])
             names, others = list(x), list(y)
-            if whole or len(groups.parent) > MOST_NODES:
+            if whole or len(groups.parent) > most:
                 groups.parent.clear()
             if x and len({groups.find(z) for z in (*names, *others)}) > 1:
                 for i, j in match(list(x.values()), list(y.values())).tolist():

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -191,7 +192,9 @@ def test_hard_rows(docs):
     assert [(r.component_id, r.kept) for r in lonely] == [(None, True)] * 3
 
 
-def test_one_row_of_each_group_stays(docs):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_one_row_of_each_group_stays(docs, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     near, null = PROSE + " x", " ".join(f"null{k}" for k in range(40))
     rows = [(50, PROSE)] * 3 + [(50, near), (60, near), (50, "another text altogether here")] + [(None, null)] * 4 + [(None, null + " x")] + [(70, ""), (70, ""), (None, None)]
     found = deduplicated(docs(*rows, clashing=True)).collect()
@@ -199,7 +202,9 @@ def test_one_row_of_each_group_stays(docs):
     assert sorted(groups, key=repr) == sorted([(50, 50), ("another text altogether here", 50), ("null", None), ("", 70), ("", 70), (None, None)], key=repr)
 
 
-def test_union_find_and_components(spark):
+@pytest.mark.parametrize("most", [200_000, 5])
+def test_union_find_and_components(spark, monkeypatch, most):
+    monkeypatch.setattr(sys.modules[components.__module__], "MOST_NODES", most)
     groups = Groups()
     groups.add([(3, 2), (2, 1), (5, 4), (4, 5)])
     assert groups.roots() == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4}
