@@ -43,9 +43,11 @@ def top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Counted by nation first, so that neither the joins nor the rollup, which triples its rows, sees a row a customer.
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("m"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.rollup("r_name", "n_name").agg(F.count("*").alias("n"))
+    rows = counts.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.rollup("r_name", "n_name").agg(F.sum("m").alias("n"))
 
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
