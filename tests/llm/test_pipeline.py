@@ -1,8 +1,14 @@
+import re
 from collections import Counter
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from millrace.llm import classifier, common, minhash, mixing, packing, queries
+from millrace.llm.secrets import spans_of as secret_spans
 from tests.llm.conftest import HARD, PROSE
+from tests.llm.test_minhash import brute
+from tests.llm.test_mixing import filled
 from tests.llm.test_secrets import plain
 
 
@@ -32,6 +38,41 @@ def test_stages_take_effect(spark):
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(packed)
 
 
+def test_stages_equal_brute_force(spark, sf_dir):
+    """Each stage against plain code that shares nothing with its operator, but for the classifier's scores."""
+    path = queries.tokenizer_path()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(common.settle(stage(spark, out[-1], sf_dir), "stage"))
+    good, single, masked, mix, packed = (x.collect() for x in out[1:])
+    held = {r.doc_id for r in good}
+    scores = {r.doc_id: r.score for r in queries.op6_classifier(spark, sf_dir).collect()}
+    assert held == {i for i, x in scores.items() if x >= 0.3}
+    groups = brute([(r.doc_id, r.text) for r in good])
+    assert {r.doc_id for r in single} == {i for i, n, component in groups if i == component or not n}
+    before = {r.doc_id: r.text for r in single}
+    assert {r.doc_id for r in masked} == set(before)
+    for r in masked:
+        assert not plain(r.text) and (r.text == before[r.doc_id]) == (not secret_spans(before[r.doc_id]))
+    size = {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text) if w]) for r in masked}
+    source = {r.doc_id: r.source for r in masked}
+    totals, taken = Counter(), Counter()
+    for i, n in size.items():
+        totals[source[i]] += n
+    times = Counter(r.doc_id for r in mix)
+    for i, n in times.items():
+        taken[source[i]] += n * size[i]
+        assert n <= 3
+    for name, target in filled(dict(totals)).items():
+        left = [size[i] for i in size if source[i] == name and size[i] and times[i] == min(times[j] for j in size if source[j] == name and size[j])]
+        assert taken[name] <= target + 1e-6 and target - taken[name] < max(1, min(left, default=1))
+    slow, text = Tokenizer.from_file(path), {r.doc_id: r.text for r in mix}
+    ids = {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in text.items()}
+    assert sum(p.length for p in packed) == sum(n * ids[i] for i, n in times.items())
+    assert Counter(p.doc_id for p in packed) == Counter({i: n * -(-ids[i] // 1024) for i, n in times.items()})
+
+
 def test_hard_rows(spark, docs, sf_dir):
     token = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'
     rows = [(None, PROSE), (7, PROSE), (7, PROSE), (8, token), (8, token), *((100 + k, t) for k, t in enumerate(HARD))]
