@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: message starts again from nothing. delete: the message goes.
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
+#: Stands for a null turn, before all others.
+NO_TURN = -(1 << 59)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: What no text may hold unescaped: this template's marks and those of other common templates.
 CONTROL = r"(?:/?s>|/?INST\]|</?SYS>>|\|im_start\|>|\|im_end\|>)"
@@ -72,7 +74,7 @@ def recorded(messages: DataFrame) -> DataFrame:
 
     By a hash of its text a message comes at once, as three streamed deltas, as a draft that is regenerated and streamed
     anew, or as a draft that is extended and then edited. Each row is a message of its own, even where rows
-    repeat; null texts are empty, null ids and roles stay; other columns are ignored; an empty table gives an empty log.
+    repeat; null texts are empty, null ids and roles stay, null turns come before all others; other columns are ignored; an empty table gives an empty log.
     """
     text = F.coalesce("text", F.lit(""))
     third = F.floor(F.length(text) / 3).cast("int")
@@ -89,7 +91,7 @@ def recorded(messages: DataFrame) -> DataFrame:
     events = F.array(*ways[0])
     for k, steps in enumerate(ways):
         events = F.when(way == k, F.array(*steps)).otherwise(events)
-    rows = messages.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").cast("long").alias("turn"), "role", events.alias("events"))
+    rows = messages.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("turn"), "role", events.alias("events"))
     rows = rows.select("conv_id", "message_id", "turn", "role", F.posexplode("events").alias("step", "event"))
     return rows.select("conv_id", "message_id", (F.col("turn") * 8 + F.col("step")).alias("seq"), F.col("event.kind").alias("kind"), "role", F.col("event.text").alias("text"))
 

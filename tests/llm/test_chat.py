@@ -26,6 +26,14 @@ def test_the_log_has_all_kinds_and_folds_to_the_messages(spark):
     assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
 
 
+def test_null_turns_come_first_and_whole(spark):
+    texts = [f"some text {k} of a few words" for k in range(12)]
+    rows = [(1, None, "assistant", x) for x in texts] + [(1, 0, "assistant", "last")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = read_back(render(fold(chat.recorded(df)))).collect()
+    assert r.n_turns == 13 and r.loss_sha256 == hashlib.sha256("".join([*sorted(texts), "last"]).encode()).hexdigest()
+
+
 def test_one_shuffle(spark, sf_dir):
     df = queries.op3_chat(spark, sf_dir)
     df.collect()
