@@ -138,6 +138,11 @@ def sifted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataF
     return joined.where(held).select("d.*"), joined.where(~held).select("d.*")
 
 
+def met(df: DataFrame, key: str, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` and ``side``, settled before, ready to be joined where ``key`` agrees: a small side is broadcast, before a large one ``df`` is sifted."""
+    return (df, F.broadcast(side)) if is_small(side) else (sifted(df, key, side)[0], side)
+
+
 def clear_work(spark: SparkSession) -> None:
     """Delete the tables that this application has settled; none may be in use."""
     remove(spark, work_root(spark))

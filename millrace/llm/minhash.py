@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scope, frugal, is_small, settle, sifted, small, with_texts
+from millrace.llm.common import Scope, frugal, is_small, met, settle, sifted, small, with_texts
 from millrace.llm.components import MOST_NODES, Groups, components
 from millrace.llm.words import LOWER, U, groups, joined, mixed, words_of
 
@@ -311,9 +311,8 @@ def meetings(classes: DataFrame) -> DataFrame:
     banded = classes.select("class", F.explode("bands").alias("group"))
     shared = settle(banded.groupBy("group").agg(F.count("*").alias("weight")).where("weight > 1"), "shared-bands")
     rows = classes.select("class", F.lit(1).alias("n"), F.col("slots").alias("payload"), F.explode("bands").alias("group"))
-    if not is_small(shared):  # signatures go through the shuffle only for buckets that are shared
-        rows, _ = sifted(rows, "group", shared)
-    return settle(rows.join(small(shared), "group").select("group", "class", "n", "weight", "payload"), "meetings")
+    rows, side = met(rows, "group", shared)  # signatures go through a shuffle only for buckets that are shared
+    return settle(rows.join(side, "group").select("group", "class", "n", "weight", "payload"), "meetings")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -321,11 +320,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Each task makes a class's set once, however often its document is repeated.
     """
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    if not is_small(wanted):
-        d, _ = sifted(d, "text_key", wanted)
+    d, side = met(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), "text_key", wanted)
     own = F.col("d.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("d.text_key") == F.col("w.text_key"))
-    texts = d.alias("d").join(small(wanted).alias("w"), own).select("w.group", "w.class", "w.weight", "d.text")
+    texts = d.alias("d").join(side.alias("w"), own).select("w.group", "w.class", "w.weight", "d.text")
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -346,10 +343,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that make the components whole. ``classes``, settled before: class, n, bands, slots, rep, text_key."""
-    met = meetings(classes)
-    families = components(matched(met, agreeing, "candidates"))
+    meeting = meetings(classes)
+    families = components(matched(meeting, agreeing, "candidates"))
     # A family's centre is the class that meets most others.
-    weights = met.groupBy("class").agg(F.sum("weight").alias("weight"))
+    weights = meeting.groupBy("class").agg(F.sum("weight").alias("weight"))
     own = settle(families.select(F.col("node").alias("class"), F.col("label").alias("group")).join(weights, "class"), "families")
     wanted = settle(classes.select("class", "rep", "text_key").join(small(own), "class").select("group", "class", "weight", "rep", "text_key"), "wanted")
     return matched(sets_of(docs, wanted), confirmed, "confirmed")
