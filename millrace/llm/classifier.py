@@ -10,6 +10,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import frugal, with_texts
+from millrace.llm.common import frugal, give_back, with_texts
 from millrace.llm.words import BASE, EXACT, LOWER, U, groups, joined, mixed, words_of
 
+#: At most 15: places go to the driver in 16 bits.
 WORD_BITS = 14
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
 MAX_TRAIN_ROWS = 8_000
@@ -131,7 +133,10 @@ class Model:
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray) -> Model:
-    """Adaptive gradient steps on the logistic loss, in a fixed seeded order. Without rows, every score is one half."""
+    """Adaptive gradient steps on the logistic loss, in a fixed seeded order. Without rows, every score is one half.
+
+    Places and values of ``texts`` may be of narrow types, as only a step's own rows are widened.
+    """
     stats = np.array([s for _, _, s in texts], float).reshape(-1, len(STATS))
     random = np.random.default_rng(7)
     model = Model(np.zeros(len(STATS)), np.ones(len(STATS)), np.zeros(SIZE), random.normal(0, 0.02, (SIZE, FACTORS)))
@@ -139,18 +144,13 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndar
         model.factors[:] = 0
         return model
     model.mean, model.spread = stats.mean(axis=0), stats.std(axis=0) + 1e-3
-    starts, at, values = model.rows(texts)
-    ends = np.append(starts[1:], len(at))
     seen_w, seen_f = np.full(SIZE, 1e-2), np.full((SIZE, FACTORS), 1e-2)
     for epoch in range(EPOCHS):
         order = random.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
-            sizes = ends[rows] - starts[rows]
-            own = np.repeat(np.arange(len(rows)), sizes)
-            first = np.cumsum(sizes) - sizes
-            take = np.arange(len(own)) - first[own] + starts[rows][own]
-            a, v = at[take], values[take]
+            first, a, v = model.rows([texts[i] for i in rows])
+            own = np.repeat(np.arange(len(rows)), np.diff(first, append=len(a)))
             logit, sums = model.logits(first, a, v)
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[rows]) / len(rows)
             places, place = np.unique(a, return_inverse=True)
@@ -166,6 +166,15 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndar
     return model
 
 
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each list of a column without nulls, in the column's own memory."""
+    found = []
+    for chunk in column.chunks:
+        values = chunk.values.to_numpy()
+        found += [values[a:b] for a, b in pairwise(chunk.offsets.to_pylist())]
+    return found
+
+
 def fold(doc_id: str = "doc_id"):
     """The remainder that decides whether a label may be learnt from; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0)).cast("int")
@@ -189,20 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Mod
         for batch in batches:
             made = list(features_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([a.astype(np.int32) for a, _, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v, _ in made], pa.list_(pa.float32())), pa.array([s for _, _, s in made], pa.list_(pa.float64()))],
+                [*batch.columns[:3], pa.array([a.astype(np.int16) for a, _, _ in made], pa.list_(pa.int16())), pa.array([v.astype(np.float32) for _, v, _ in made], pa.list_(pa.float32())), pa.array([s for _, _, s in made], pa.list_(pa.float64()))],
                 ["doc_id", "quality", "text_key", "places", "values", "stats"],
             )
 
-    drawn = rows.mapInArrow(frugal(features), "doc_id string, quality int, text_key long, places array<int>, values array<float>, stats array<double>")
+    drawn = rows.mapInArrow(frugal(features), "doc_id string, quality int, text_key long, places array<smallint>, values array<float>, stats array<double>")
     one = drawn.groupBy("doc_id").agg(F.min(F.struct("text_key", "quality", "places", "values", "stats")).alias("row"))
     found = one.select("doc_id", "row.quality", "row.places", "row.values", "row.stats").toArrow()
     # Tasks end in any order; the fit takes rows in one.
-    keys = sorted((zlib.crc32(str(i).encode()), str(i), q, tuple(s), k) for k, (i, q, s) in enumerate(zip(found["doc_id"].to_pylist(), found["quality"].to_pylist(), found["stats"].to_pylist(), strict=True)))
-    order = [k[-1] for k in keys]
-    places, values = found["places"].combine_chunks(), found["values"].combine_chunks()
-    texts = [(np.asarray(places[k].values, np.int64), np.asarray(values[k].values, float), list(stats)) for *_, stats, k in keys]
-    quality = found["quality"].to_pylist()
-    return fit(texts, np.array([quality[k] for k in order], float))
+    order = [k for *_, k in sorted((zlib.crc32(i.encode()), i, k) for k, i in enumerate(found["doc_id"].to_pylist()))]
+    rows, quality = list(zip(*(lists(found[c]) for c in ("places", "values", "stats")), strict=True)), found["quality"].to_pylist()
+    model = fit([rows[k] for k in order], np.array([quality[k] for k in order], float))
+    del found, rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -161,15 +161,20 @@ def with_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not all C libraries have it
+    if trim:
+        trim(0)
+
+
 def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` on a task's batches; at its end the worker, which Spark reuses, gives memory back to the system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not all C libraries have it
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

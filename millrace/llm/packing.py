@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import frugal, settle, with_texts
+from millrace.llm.common import frugal, give_back, settle, with_texts
 
 SEQUENCE = 1024
 #: The id that ends each document.
@@ -111,11 +111,11 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     have = counts > 0
     lengths = np.flatnonzero(have)
     found = []
-    i, j = np.meshgrid(lengths, lengths, indexing="ij")
-    for parts in ((i, j), (i, j, SEQUENCE - i - j)):
-        k = SEQUENCE - i - j
-        ok = (i <= j) & ((k == 0) if len(parts) == 2 else (k >= j) & have[np.clip(k, 0, SEQUENCE)] & (k > 0))
-        found.append(np.stack([p[ok] for p in parts], axis=1))
+    i, j = np.meshgrid(lengths.astype(np.int16), lengths.astype(np.int16), indexing="ij", sparse=True)
+    k = SEQUENCE - i - j
+    for n, ok in ((2, (i <= j) & (k == 0)), (3, (i <= j) & (k >= j) & have[np.clip(k, 0, SEQUENCE)] & (k > 0))):
+        a, b = np.nonzero(ok)
+        found.append(np.stack([lengths[a], lengths[b], SEQUENCE - lengths[a] - lengths[b]][:n], axis=1))
     for m in range(3, MOST_EQUAL + 1):
         other = SEQUENCE - m * lengths
         ok = (other == 0) | (other > 0) & have[np.clip(other, 0, SEQUENCE)]
@@ -214,6 +214,7 @@ def pack(pieces: DataFrame) -> DataFrame:
     spark, others = pieces.sparkSession, pieces.columns
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most SEQUENCE rows
     segments = spark.sparkContext.broadcast(plan(histogram))
+    give_back()
     buckets = max(16, -(-sum(histogram.values()) // BUCKET_PIECES))
     row = F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")
     dealt = pieces.select(row, "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("bucket"))

@@ -1,15 +1,17 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import classifier, queries
 from millrace.llm import words as hashed
-from millrace.llm.classifier import Model, features, fit, score, train
+from millrace.llm.classifier import Model, features, fit, lists, score, train
 from tests.llm.conftest import HARD, PROSE
 
 
@@ -69,6 +71,35 @@ def test_pairs_are_learnt():
     assert ((model.score(rows[800:]) >= 0.5) == np.array(labels[800:])).mean() > 0.95
 
 
+def test_fit_widens_a_step_and_not_the_sample(monkeypatch):
+    monkeypatch.setattr(classifier, "EPOCHS", 1)
+    r = np.random.default_rng(2)
+    texts = [(np.sort(r.choice(1 << classifier.WORD_BITS, 500, replace=False)).astype(np.int16), r.random(500, np.float32), r.random(len(classifier.STATS))) for _ in range(3000)]
+    labels = r.integers(0, 2, len(texts)).astype(float)
+    tracemalloc.start()
+    try:
+        fit(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6, peak  # one copy of all rows in wide types is 25 MB
+
+
+def test_narrow_types_teach_the_same():
+    texts = features([f"{PROSE} {k} {k % 7}".encode() for k in range(300)])
+    labels = np.arange(300) % 2.0
+    narrow = [(a.astype(np.int16), v.astype(np.float32), s) for a, v, s in texts]
+    models = [fit(x, labels) for x in (narrow, [(a.astype(np.int64), v.astype(float), s) for a, v, s in narrow])]
+    assert (models[0].weights == models[1].weights).all() and (models[0].factors == models[1].factors).all()
+
+
+def test_lists_of_chunks_and_slices():
+    want = [[1, 2], [], [3], [4, 5, 6], []]
+    whole = pa.array(want, pa.list_(pa.int16()))
+    assert [x.tolist() for x in lists(pa.chunked_array([whole[:2], whole[2:4], whole[4:], whole[:0]]))] == want
+    assert lists(pa.chunked_array([], pa.list_(pa.int16()))) == []
+
+
 def test_held_out_quality(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = queries.op6_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from millrace.llm import packing, queries
-from millrace.llm.packing import SEQUENCE, bounds, plan, sequences, token_ids, tokenise
+from millrace.llm.packing import SEQUENCE, bounds, patterns, plan, sequences, token_ids, tokenise
 from tests.llm.conftest import HARD
 
 PATH = queries.tokenizer_path()
@@ -121,3 +122,21 @@ def test_query(spark):
 
 def test_empty_table(docs):
     assert packing.packed(docs("x").limit(0), PATH).collect() == []
+
+
+def test_patterns_are_all_pairs_and_triples_and_small():
+    counts = np.zeros(SEQUENCE + 1, np.int64)
+    have = [1, 2, 300, 341, 342, 424, 512, 600, 723, 724, 1022]
+    counts[have] = 1
+    found = [tuple(x[x > 0].tolist()) for x in patterns(counts)]
+    small = {tuple(sorted(x)) for x in found if len(x) < 4}
+    assert {(i, j) for i in have for j in have if i <= j and i + j == SEQUENCE} <= small
+    assert {(i, j, k) for i in have for j in have for k in have if i <= j <= k and i + j + k == SEQUENCE} <= small
+    assert all(sum(x) == SEQUENCE and set(x) <= set(have) for x in found)
+    tracemalloc.start()
+    try:
+        patterns(np.ones(SEQUENCE + 1, np.int64))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6, peak  # it was 49 MB with grids of wide numbers
